@@ -80,31 +80,40 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashed, np.searchsorted(offsets, start, "right") - 1, start, length
 
 
-def grams(hashed: np.ndarray, doc: np.ndarray, docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes (GRAM_BITS wide) of each text, ascending, and each text's offset into them.
+def raw_grams(hashed: np.ndarray, doc: np.ndarray, docs: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, text number, first word) of each n-gram.
 
     A text of 1 to n-1 words has one gram, of all its words; one without words has none.
     """
-    if docs > BLOCK_DOCS:
-        raise ValueError("too many texts in a block")
-    if not len(hashed):
-        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
     counts = np.bincount(doc, minlength=docs)
     first = np.cumsum(counts) - counts
-    gram, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram, owner, at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(hashed) >= n:
         gram = hashed[: len(hashed) - n + 1].copy()
         for k in range(1, n):
             gram = gram * np.uint64(0x9E3779B97F4A7C15) + (hashed[k : len(hashed) - n + 1 + k] ^ np.uint64(k))
-        whole = doc[: len(hashed) - n + 1] == doc[n - 1 :]
-        gram, owner = mix(gram[whole]), doc[: len(hashed) - n + 1][whole]
+        at = np.flatnonzero(doc[: len(hashed) - n + 1] == doc[n - 1 :])
+        gram, owner = mix(gram[at]), doc[at]
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         tail = np.array([np.bitwise_xor.reduce(mix(hashed[first[d] : first[d] + counts[d]] + np.arange(counts[d], dtype=np.uint64))) for d in short], dtype=np.uint64)
-        gram, owner = np.concatenate([gram, tail]), np.concatenate([owner, short])
-    packed = (owner.astype(np.uint64) << np.uint64(GRAM_BITS)) | (gram >> np.uint64(64 - GRAM_BITS))
+        gram, owner, at = np.concatenate([gram, tail]), np.concatenate([owner, short]), np.concatenate([at, first[short]])
+    return gram, owner, at
+
+
+def distinct(key: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (GRAM_BITS wide) of each text, ascending, and each text's offset into them."""
+    if docs > BLOCK_DOCS:
+        raise ValueError("too many texts in a block")
+    packed = (owner.astype(np.uint64) << np.uint64(GRAM_BITS)) | key
     packed.sort()
     if len(packed):
         packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-    owner = (packed >> np.uint64(GRAM_BITS)).astype(np.int64)
-    return packed & np.uint64((1 << GRAM_BITS) - 1), np.searchsorted(owner, np.arange(docs + 1))
+    bounds = np.arange(docs, dtype=np.uint64) << np.uint64(GRAM_BITS)
+    return packed & np.uint64((1 << GRAM_BITS) - 1), np.append(np.searchsorted(packed, bounds), len(packed))
+
+
+def grams(hashed: np.ndarray, doc: np.ndarray, docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes (GRAM_BITS wide) of each text, ascending, and each text's offset into them."""
+    gram, owner, _ = raw_grams(hashed, doc, docs, n)
+    return distinct(gram >> np.uint64(64 - GRAM_BITS), owner, docs)
