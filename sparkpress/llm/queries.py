@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, sharding
+from . import decontaminate, fingerprints, jaccard_join, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_pairs(_table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard_join.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
