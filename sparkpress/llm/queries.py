@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard_join, sharding
+from . import decontaminate, fingerprints, jaccard_join, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
