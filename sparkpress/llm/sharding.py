@@ -11,7 +11,8 @@ Runs are cut at about ``target_chars`` characters.  A cell that holds more than
 an eighth of a run is first split by a hash of the id into as many slices as it
 holds eighths, so the table of slices has at most (cells + 8 x runs) rows
 however many documents there are; the running total over it is the only
-computation that isn't spread over the cluster.  Texts move once, to the range
+computation that isn't spread over the cluster.  Lookup tables are broadcast only
+after their rows have been counted.  Texts move once, to the range
 partition of their run.
 
 Defined cases: a null text counts as empty; a null source or language gets grid
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 BITS = 5
 TARGET_CHARS = 16_000_000
 SLICES = 8
@@ -115,7 +118,7 @@ def hilbert_shards(docs: DataFrame, bits: int = BITS, target_chars: int = TARGET
     """(doc_id, text, lang, source, hilbert, shard), each run whole in one partition and sorted along the curve."""
     keyed = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
     for column in ("source", "lang"):
-        table = _grid(docs.select(column), column, bits)
+        table = storage.small(_grid(docs.select(column), column, bits), "grid")
         keyed = keyed.join(table, keyed[column] == table[f"v_{column}"], "left").drop(f"v_{column}").withColumn(f"g_{column}", F.coalesce(f"g_{column}", F.lit(0)))
     for name, expression in _length_steps(bits):
         keyed = keyed.withColumn(name, F.expr(expression))
@@ -124,10 +127,12 @@ def hilbert_shards(docs: DataFrame, bits: int = BITS, target_chars: int = TARGET
     narrow = keyed.select("hilbert", "hash", "chars")
     # as many rows as the grid has cells, so always small enough to send to every task
     cells = narrow.groupBy("hilbert").agg(F.expr(f"greatest(1, CAST(sum(chars) div {max(1, target_chars // SLICES)} AS BIGINT))").alias("slices"))
-    sliced = lambda df: df.join(F.broadcast(cells), "hilbert").withColumn("slice", F.expr("(hash * slices) >> 32"))
+    cells = F.broadcast(storage.written(cells, "cells"))
+    sliced = lambda df: df.join(cells, "hilbert").withColumn("slice", F.expr("(hash * slices) >> 32"))
     sums = sliced(narrow).groupBy("hilbert", "slice").agg(F.sum("chars").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.orderBy("hilbert", "slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = sums.select("hilbert", "slice", before.alias("s0")).select("hilbert", "slice", F.expr(f"CAST(s0 div {target_chars} AS BIGINT)").alias("shard"))
+    runs = storage.small(runs, "runs")
     placed = sliced(keyed).join(runs, ["hilbert", "slice"])
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["shard", "hilbert", "slice", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small(df: DataFrame, name: str, rows: int = 200_000) -> DataFrame:
+    """df, written and counted: marked for broadcast if it has at most so many (narrow) rows, else left to a shuffle join."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= rows else table
