@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, fingerprints, jaccard_join, quality, sentencepiece, sharding, token_counts
 
 
@@ -41,6 +43,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
@@ -49,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
