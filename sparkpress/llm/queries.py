@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprints, jaccard_join, quality, sentencepiece, sharding, token_counts
+from . import decontaminate, fingerprints, hmm, jaccard_join, quality, sentencepiece, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(_table(spark, sf_dir, "documents"))
 
 
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_hmm_scoring": op6_hmm_scoring,
     "op7_fingerprints": op7_fingerprints,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
