@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprints, hmm, jaccard_join, quality, sentencepiece, sharding, token_counts
+from . import decontaminate, fingerprints, hmm, jaccard_join, quality, sentencepiece, sharding, style_tree, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_hmm_scoring": op6_hmm_scoring,
     "op7_fingerprints": op7_fingerprints,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "pipeline": pipeline,
