@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprints, hmm, jaccard_join, quality, sentencepiece, sharding, style_tree, token_counts
+from . import capture_index, decontaminate, fingerprints, hmm, jaccard_join, quality, sentencepiece, sharding, style_tree, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index.captures(_table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_pairs(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_capture_index": op2_capture_index,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
@@ -67,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.oracle_sql(), "op2_capture_index": capture_index.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
