@@ -8,6 +8,7 @@ n-grams are identified by 64-bit (n-grams: 54-bit) hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,18 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of an n-gram hash; the ten bits above them number documents inside a block.
 GRAM_BITS = 54
 BLOCK_DOCS = 1 << (64 - GRAM_BITS)
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
