@@ -142,9 +142,9 @@ def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.flags(_lines(spark), PREDICATES).withColumn("bound", F.col("quantity") & F.col("line").rlike("[0-9]")).drop("line")
 
 
-@query("document_predicates", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{_Q(PREDICATES[n])}')) AS BIGINT) AS {n}" for n in ("strong", "negation", "security", "legal", "licence")) + " FROM documents")
+@query("document_predicates", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{_Q(PREDICATES[n])}')) AS BIGINT) AS {n}" for n in ("strong", "negation", "security", "legal", "licence")) + " FROM documents WHERE lang = 'en'")
 def document_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *[T.count_matches(F.col("text"), PREDICATES[n]).alias(n) for n in ("strong", "negation", "security", "legal", "licence")])
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", *[T.count_matches(F.col("text"), PREDICATES[n]).alias(n) for n in ("strong", "negation", "security", "legal", "licence")])
 
 
 @query("prose_fragment", f"""SELECT id, len({_WORDS.format('line')}) >= 5 AND length(regexp_replace(line, '[^A-Za-z\\s]', '', 'g')) >= 0.72::DOUBLE * length(line) AND length(line) - length(replace(line, '(', '')) = length(line) - length(replace(line, ')', '')) AND NOT regexp_matches(line, '[=;]') AS fragment,
