@@ -17,8 +17,9 @@ With m pages at a node, importance is
   g^l * sum p_i * (mean composite of style i's children)`` with g = ``GAMMA``;
   a leaf's is its content importance, a childless style counts 0.
 
-A second pass over the pages drops each branch whose node has a composite
-importance below ``THRESHOLD`` and joins the texts that are left.  The keys of
+A branch is noise if its node and all nodes below have a composite importance
+under ``THRESHOLD`` (a mean alone would drop a body for its menus).  A second pass
+over the pages drops these branches and joins the texts that are left.  The keys of
 such nodes are broadcast if they are at most ``BROADCAST_KEYS``; beyond that
 each page gets its own keys by a join.
 
@@ -183,7 +184,7 @@ def _occurrences(digest: bool):
 
 
 def importance(occurrences: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(key, composite) of every node of the style trees, from (key, style, above, depth, leaf) of every node of every page."""
+    """(key, composite, highest) of every node of the style trees, highest being the greatest composite of its branch, from (key, style, above, depth, leaf) of every node of every page."""
     styles = storage.written(occurrences.groupBy("key", "style").agg(F.count(F.lit(1)).alias("c"), F.min("above").alias("above"), F.min("depth").alias("depth"), F.max("leaf").alias("leaf")), "styles")
     log_m = F.log("m")
     node = styles.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum(F.log("c")).alias("logc"), F.min("above").alias("above"), F.min("depth").alias("depth"), F.max("leaf").alias("leaf"))
@@ -191,20 +192,20 @@ def importance(occurrences: DataFrame, gamma: float = GAMMA) -> DataFrame:
     node = storage.written(node.select("key", "m", "l", "above", "depth", "leaf", own.alias("own")), "nodes")
     deepest = node.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return node.select("key", F.col("own").alias("composite"))
+        return node.select("key", F.col("own").alias("composite"), F.col("own").alias("highest"))
     done = None
     for depth in range(deepest, -1, -1):
         here = node.where(F.col("depth") == depth)
         if done is None:
-            inner = here.select("key", F.lit(0.0).alias("inside"))
+            inner = here.select("key", F.lit(0.0).alias("inside"), F.lit(0.0).alias("below"))
         else:
-            means = done.groupBy(F.col("above").alias("style")).agg(F.avg("composite").alias("mean"))
-            inner = styles.where((F.col("depth") == depth) & ~F.col("leaf")).join(means, "style").groupBy("key").agg(F.sum(F.col("c") * F.col("mean")).alias("inside"))
+            means = done.groupBy(F.col("above").alias("style")).agg(F.avg("composite").alias("mean"), F.max("highest").alias("top"))
+            inner = styles.where((F.col("depth") == depth) & ~F.col("leaf")).join(means, "style").groupBy("key").agg(F.sum(F.col("c") * F.col("mean")).alias("inside"), F.max("top").alias("below"))
         share = F.pow(F.lit(gamma), F.col("l"))
         composite = F.when(F.col("leaf"), F.col("own")).otherwise((1 - share) * F.col("own") + share * F.coalesce("inside", F.lit(0.0)) / F.col("m"))
-        done = storage.written(here.join(inner, "key", "left").select("key", "above", composite.alias("composite")), "composite")
+        done = storage.written(here.join(inner, "key", "left").select("key", "above", composite.alias("composite"), F.greatest(composite, F.coalesce("below", F.lit(0.0))).alias("highest")), "composite")
         total = done if depth == deepest else total.unionByName(done)  # noqa: F821
-    return total.select("key", "composite")
+    return total.select("key", "composite", "highest")
 
 
 def extract_pages(pages: DataFrame, gamma: float = GAMMA, threshold: float = THRESHOLD, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -213,7 +214,7 @@ def extract_pages(pages: DataFrame, gamma: float = GAMMA, threshold: float = THR
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")).withColumn("digest", F.xxhash64("host", "html"))
     kind = "key long, style long, above long, depth int, leaf boolean"
-    low = storage.written(importance(given.mapInArrow(_occurrences(False), kind), gamma).where(F.col("composite") < threshold).select("key"), "low")
+    low = storage.written(importance(given.mapInArrow(_occurrences(False), kind), gamma).where(F.col("highest") < threshold).select("key"), "low")
     names = ["page_id", "url", "text", "nodes", "dropped"]
     sent = spark.sparkContext.broadcast(np.sort(low.toArrow()["key"].to_numpy())) if low.count() <= broadcast_keys else None
 
