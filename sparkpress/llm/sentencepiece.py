@@ -146,7 +146,8 @@ def lattice(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     """(hash, ids array<int>) of distinct (hash, segment), by the relational lattice."""
     given = pieces(model)
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in given.table.items()], "piece string, id int, score double")
-    short = words.where(F.length("segment") <= LONG)
+    # placed by hash once: the explosions and the join keep that placement, so that the grouping moves no edges
+    short = words.where(F.length("segment") <= LONG).repartition(storage.partitions(spark), "hash")
     # every substring that can be a piece; a single character always, since it is an edge even if unknown
     parts = short.select("hash", F.length("segment").alias("n"), "segment", F.explode(F.expr("sequence(1, length(segment))")).alias("e")).select("hash", "n", "segment", "e", F.explode(F.expr(f"sequence(greatest(1, e - {given.longest - 1}), e)")).alias("b")).select("hash", "n", "e", "b", F.expr("substring(segment, b, e - b + 1)").alias("part"))
     # the piece table is a model's, tens of thousands of rows whatever the corpus
@@ -248,10 +249,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     spark = docs.sparkSession
     texts = _prepared(docs)
     spelled = texts.mapInArrow(_spelled(model), "task int, hash long, segment string")
-    words = spelled.groupBy("hash").agg(F.first("segment").alias("segment"), F.collect_set("task").alias("tasks"))
+    words = storage.written(spelled.groupBy("hash").agg(F.first("segment").alias("segment"), F.collect_set("task").alias("tasks")), "words")
     found = lattice(spark, words.select("hash", "segment"), model).join(words.select("hash", "tasks"), "hash")
     path = storage.new_path(spark, "segments")
-    found.select("hash", "ids", F.explode("tasks").alias("task")).repartition(storage.partitions(spark), "task").write.partitionBy("task").parquet(path)
+    with storage.shuffles_freed(spark):
+        found.select("hash", "ids", F.explode("tasks").alias("task")).repartition(storage.partitions(spark), "task").write.partitionBy("task").parquet(path)
     return texts.mapInArrow(_encoded(model, path), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
