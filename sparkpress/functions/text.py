@@ -78,8 +78,8 @@ def canonical(text: Column) -> Column:
 def heading_level(line: Column) -> Column:
     """1 to 6 for markdown and numbered headings, 2 for capitals, 3 for a title that ends in a colon, else 0."""
     s = F.trim(line)
-    marks = F.length(F.regexp_extract(s, r"^(#{1,6})\s+\S", 1))
-    dots = F.regexp_extract(s, r"^([0-9]+([.][0-9]+)*)[.)]?\s+[A-Z]", 1)
+    marks = F.length(F.regexp_extract(s, r"^(#{1,6})[ \t]+[^ \t]", 1))
+    dots = F.regexp_extract(s, r"^([0-9]+([.][0-9]+)*)[).]?[ \t]+[A-Z]", 1)
     return (
         F.when(F.length(s) == 0, 0)
         .when(marks > 0, marks)

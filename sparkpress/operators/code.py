@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _SCHEMA = "file_id long, name string, kind string, line long, last_line long, signature string, doc string, calls array<string>, complexity long, body_hash string"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
+_DEFINITIONS = (ast.ClassDef, ast.AsyncFunctionDef, ast.FunctionDef)
 _BRANCHES = (ast.If, ast.For, ast.While, ast.Try, ast.BoolOp, ast.IfExp, ast.ExceptHandler, ast.comprehension)
 
 
@@ -48,7 +49,7 @@ def symbols_of(file_id: int, source: str) -> list[tuple]:
 
     def walk(node: ast.AST, prefix: str) -> None:
         for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            if isinstance(child, _DEFINITIONS):
                 name = f"{prefix}{child.name}"
                 is_class = isinstance(child, ast.ClassDef)
                 calls = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(child) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))})

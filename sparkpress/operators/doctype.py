@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 
 LABELS = ["prose", "markdown", "code", "logs", "conversation", "sql", "table", "json"]
-SWITCH, STAY = 3.2, {"code": 1.4, "json": 1.8, "logs": 1.0, "table": 1.0}
+SWITCH, STAY = 3.2, {"table": 1.0, "logs": 1.0, "json": 1.8, "code": 1.4}
 
 
 def line_scores(rows: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def line_scores(rows: DataFrame) -> DataFrame:
     before = F.coalesce(F.col("previous").rlike(r'^\s*("[^"]+"\s*:|[{\[])'), F.lit(False))
     scores = {
         "prose": 1.0 + when((words >= 6) & line.rlike("[.!?]$"), 1.6) + when(letters > 0.75, 1.2),
-        "markdown": when(line.rlike(r"^#{1,6}\s+\S"), 2.6) + when(line.rlike(r"^\s*([-*+]|[0-9]+[.)])\s+\S"), 1.4) + when(line.rlike(r"\[[^\]]+\]\([^)]+\)"), 1.2),
+        "markdown": when(line.rlike(r"^#{1,6}\s+\S"), 2.6) + when(line.rlike(r"^\s*([-*+]|[0-9]+[.)])\s+\S"), 1.4) + when(line.rlike(r"\[[^\]\n]*\]\(\S+\)"), 1.2),
         "code": when(line.rlike(r"^\s*(def|class|import|from|func|fn|public|private|const|let|var|return|if|for|while)\b.*([:({;]|$)"), 2.4) + when(line.rlike(r"[;{}]\s*$"), 1.4) + when(line.rlike(r"[A-Za-z_]\w*\([^)]*\)"), 0.8),
         "logs": when(F.substring("line", 1, 40).rlike(lexicon.TIMESTAMP), 2.6) + when(F.substring("line", 1, 60).rlike(lexicon.LOG_LEVEL), 2.2),
         "conversation": when(line.rlike(lexicon.ROLE_MARKER), 3.2),

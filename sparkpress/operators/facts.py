@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from re import compile as pattern_of
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -88,7 +88,7 @@ def spans(units: DataFrame, key: str = "doc_id") -> DataFrame:
     Matches are swept from left to right; at one start the longest wins, then the
     earlier class.  The sweep depends on what was kept before, so it runs per row in Arrow batches.
     """
-    patterns = [(name, re.compile(p)) for name, _, _, p in lexicon.LITERALS]
+    patterns = [(name, pattern_of(p)) for name, _, _, p in lexicon.LITERALS]
     names = [key, "start", "stop", "class", "literal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

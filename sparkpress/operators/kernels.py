@@ -15,7 +15,7 @@ from ..functions import text as T
 from . import profile
 
 
-def chunks_of(text: str, least: int = 512, average: int = 2048, most: int = 8192) -> list[tuple[int, int]]:
+def chunks_of(text: str, least: int = 512, average: int = 2048, most: int = 8192) -> list[tuple[int, ...]]:
     """(start, stop) of chunks that end after a line whose digest has enough low zero bits, between least and most characters.
 
     The bits follow the text's own characters a line, so that chunks are about ``average`` long and an insertion moves only the boundaries near it.

@@ -46,8 +46,8 @@ def simple_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def fences(rows: DataFrame) -> DataFrame:
     """Label lines (doc_id, n, line): fence lines are markdown, lines inside a fence have its language or 'code', others are 'open'."""
     order = Window.partitionBy("doc_id").orderBy("n")
-    mark = F.col("line").rlike(r"^\s*(```|~~~)")
-    language = F.last(F.when(F.col("mark"), F.regexp_extract("line", r"^\s*(```|~~~)([a-z]*)", 2)), ignorenulls=True).over(order)
+    mark = F.col("line").rlike(r"^[ ]*(~~~|```)")
+    language = F.last(F.when(F.col("mark"), F.regexp_extract("line", r"^[ ]*(~~~|```)([a-z]*)", 2)), ignorenulls=True).over(order)
     marked = rows.withColumn("mark", mark).withColumn("opened", F.sum(F.when(F.col("mark"), 1).otherwise(0)).over(order)).withColumn("language", language)
     label = F.when(F.col("mark"), "markdown").when(F.col("opened") % 2 == 1, F.when(F.col("language") == "", "code").otherwise(F.col("language"))).otherwise("open")
     return marked.select("doc_id", "n", "line", label.alias("label"))

@@ -9,13 +9,13 @@ from .. import lexicon
 
 #: Masks in order; each replaces what the ones before it left.
 MASKS = [
-    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
+    (r"[A-Fa-f0-9]{8}(-[A-Fa-f0-9]{4}){3}-[A-Fa-f0-9]{12}", "<uuid>"),
     (r"\b[0-9]{1,3}([.][0-9]{1,3}){3}\b", "<ip>"),
-    (r"\b0x[0-9a-fA-F]+\b", "<hex>"),
+    (r"\b0[xX][A-Fa-f0-9]+\b", "<hex>"),
     (r"\"[^\"]*\"", "<str>"),
     (r"[0-9]+([.][0-9]+)?", "<num>"),
 ]
-SEVERITY = {"TRACE": 0, "DEBUG": 1, "INFO": 2, "NOTICE": 2, "WARN": 3, "WARNING": 3, "ERROR": 4, "ERR": 4, "FATAL": 5, "CRITICAL": 5, "SEVERE": 5, "PANIC": 5}
+SEVERITY = dict.fromkeys(["CRITICAL", "FATAL", "PANIC", "SEVERE"], 5) | dict.fromkeys(["ERR", "ERROR"], 4) | dict.fromkeys(["WARN", "WARNING"], 3) | dict.fromkeys(["INFO", "NOTICE"], 2) | {"DEBUG": 1, "TRACE": 0}
 
 
 def column_profile(df: DataFrame, columns: list[str], enum_limit: int = 6) -> DataFrame:
@@ -42,7 +42,7 @@ def json_paths(df: DataFrame, column: str) -> DataFrame:
 def string_format(value: Column) -> Column:
     """Type of a scalar string: uuid, datetime, date, email, url, enum?, long or str."""
     return (
-        F.when(value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), "str<uuid>")
+        F.when(value.rlike("^[A-Fa-f0-9]{8}(-[A-Fa-f0-9]{4}){3}-[A-Fa-f0-9]{12}$"), "str<uuid>")
         .when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), "str<datetime>")
         .when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "str<date>")
         .when(value.rlike("^[^@ ]+@[^@ ]+[.][A-Za-z]+$"), "str<email>")

@@ -97,7 +97,7 @@ def json_event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORMATS = [(1, "3f2504e0-4f89-41d3-9a0c-0305e82c3301"), (2, "2024-01-02T10:11:12"), (3, "2024-01-02"), (4, "a@b.org"), (5, "https://x.org/y"), (6, "PENDING_REVIEW"), (7, "plain words"), (8, "x" * 250)]
 
 
-@query("string_format", f"SELECT id, CASE WHEN regexp_matches(v, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') THEN 'str<uuid>' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}') THEN 'str<datetime>' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'str<date>' WHEN regexp_matches(v, '^[^@ ]+@[^@ ]+[.][A-Za-z]+$') THEN 'str<email>' WHEN regexp_matches(v, '^[a-z]+://') THEN 'str<url>' WHEN regexp_matches(v, '^[A-Z][A-Z_]{{1,24}}$') THEN 'str<enum?>' WHEN length(v) > 200 THEN 'str<long>' ELSE 'str' END AS format FROM ({values(FORMATS)}) t(id, v)")
+@query("string_format", f"SELECT id, CASE WHEN regexp_matches(v, '^[A-Fa-f0-9]{{8}}(-[A-Fa-f0-9]{{4}}){{3}}-[A-Fa-f0-9]{{12}}$') THEN 'str<uuid>' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}') THEN 'str<datetime>' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'str<date>' WHEN regexp_matches(v, '^[^@ ]+@[^@ ]+[.][A-Za-z]+$') THEN 'str<email>' WHEN regexp_matches(v, '^[a-z]+://') THEN 'str<url>' WHEN regexp_matches(v, '^[A-Z][A-Z_]{{1,24}}$') THEN 'str<enum?>' WHEN length(v) > 200 THEN 'str<long>' ELSE 'str' END AS format FROM ({values(FORMATS)}) t(id, v)")
 def string_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, FORMATS, "id long, v string").select("id", profile.string_format(F.col("v")).alias("format"))
 

@@ -67,7 +67,7 @@ def truncate_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("heading_level", f"""SELECT id, CAST(CASE WHEN length(s) = 0 THEN 0 WHEN marks > 0 THEN marks WHEN dots <> '' AND length(s) < 120 THEN least(6, length(dots) - length(replace(dots, '.', '')) + 1)
  WHEN length(s) < 90 AND upper(s) = s AND lower(s) <> s AND NOT regexp_matches(s, '[.!?]$') THEN 2 WHEN length(s) < 90 AND regexp_matches(s, '^[A-Z][A-Za-z0-9_ /&,''-]+:$') THEN 3 ELSE 0 END AS BIGINT) AS level
-FROM (SELECT id, trim(line) AS s, length(regexp_extract(trim(line), '^(#{{1,6}})\\s+\\S', 1)) AS marks, regexp_extract(trim(line), '^([0-9]+([.][0-9]+)*)[.)]?\\s+[A-Z]', 1) AS dots FROM {_L})""")
+FROM (SELECT id, trim(line) AS s, length(regexp_extract(trim(line), '^(#{{1,6}})[ \\t]+[^ \\t]', 1)) AS marks, regexp_extract(trim(line), '^([0-9]+([.][0-9]+)*)[).]?[ \\t]+[A-Z]', 1) AS dots FROM {_L})""")
 def heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark).select("id", T.heading_level(F.col("line")).alias("level"))
 
@@ -88,11 +88,11 @@ def term_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", b.alias("b")).select("doc_id", F.size("b").cast("long").alias("n"), F.md5(F.array_join("b", "|")).alias("digest"))
 
 
-@query("entities", f"SELECT id, list_distinct(regexp_extract_all(line, '\\b[A-Z]{{2,8}}(-[0-9]+)?\\b')) AS acronyms, list_distinct(regexp_extract_all(line, '\\b([a-z][a-z0-9]*(_[a-z0-9]+)+|[a-z]+([A-Z][a-z0-9]+)+|[A-Z][A-Z0-9]*(_[A-Z0-9]+)+)\\b')) AS identifiers FROM {_L}".replace("list_distinct(", "list_sort(list_distinct(").replace("\\b'))", "\\b')))"))
+@query("entities", f"SELECT id, list_distinct(regexp_extract_all(line, '\\b[A-Z][A-Z]{{1,7}}(-[0-9]+)?\\b')) AS acronyms, list_distinct(regexp_extract_all(line, '\\b([a-z]+[0-9]*(_[0-9a-z]+)+|[a-z]+([A-Z][0-9a-z]+)+|[A-Z]+[0-9]*(_[0-9A-Z]+)+)\\b')) AS identifiers FROM {_L}".replace("list_distinct(", "list_sort(list_distinct(").replace("\\b'))", "\\b')))"))
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = dict((c, p) for c, _, _, p in lexicon.LITERALS)["identifier"]
     sets = lambda p: F.array_sort(F.array_distinct(T.matches(F.col("line"), p)))
-    return _lines(spark).select("id", sets(r"\b[A-Z]{2,8}(-[0-9]+)?\b").alias("acronyms"), sets(pattern).alias("identifiers"))
+    return _lines(spark).select("id", sets(r"\b[A-Z][A-Z]{1,7}(-[0-9]+)?\b").alias("acronyms"), sets(pattern).alias("identifiers"))
 
 
 _HASH = "trim(regexp_replace(regexp_replace(lower(text), '[0-9]+([.][0-9]+)?', '#', 'g'), '\\s+', ' ', 'g'))"
@@ -160,9 +160,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.simple_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("fences", """WITH l AS (SELECT * FROM (VALUES (1, 'intro'), (2, '```python'), (3, 'x = 1'), (4, '```'), (5, 'middle'), (6, '~~~'), (7, 'raw'), (8, '~~~'), (9, 'end')) t(n, line)), f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS mark FROM l),
+@query("fences", """WITH l AS (SELECT * FROM (VALUES (1, 'intro'), (2, '```python'), (3, 'x = 1'), (4, '```'), (5, 'middle'), (6, '~~~'), (7, 'raw'), (8, '~~~'), (9, 'end')) t(n, line)), f AS (SELECT *, regexp_matches(line, '^[ \\t]*(~~~|```)') AS mark FROM l),
 g AS (SELECT *, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (ORDER BY n) AS opened FROM f)
-SELECT CAST(n AS BIGINT) AS n, CASE WHEN mark THEN 'markdown' WHEN opened % 2 = 1 THEN coalesce(nullif(last_value(CASE WHEN mark THEN regexp_extract(line, '^\\s*(```|~~~)([a-z]*)', 2) END IGNORE NULLS) OVER (ORDER BY n), ''), 'code') ELSE 'open' END AS label FROM g""")
+SELECT CAST(n AS BIGINT) AS n, CASE WHEN mark THEN 'markdown' WHEN opened % 2 = 1 THEN coalesce(nullif(last_value(CASE WHEN mark THEN regexp_extract(line, '^[ ]*(~~~|```)([a-z]*)', 2) END IGNORE NULLS) OVER (ORDER BY n), ''), 'code') ELSE 'open' END AS label FROM g""")
 def fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = list(enumerate(["intro", "```python", "x = 1", "```", "middle", "~~~", "raw", "~~~", "end"], 1))
     return lines.fences(fixture(spark, [(1, *r) for r in rows], "doc_id long, n long, line string")).select("n", "label")

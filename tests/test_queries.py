@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpress.config import Config
+from sparkpress.config import MODES, Config
 from sparkpress.operators import facts, selection
 from sparkpress.plans import engine
 from sparkpress.queries import ORACLES, QUERIES
@@ -58,7 +58,7 @@ def corpus(spark):
     return spark.createDataFrame([(1, TEXT), (2, ""), (3, None), (4, TEXT + " " + TEXT), (5, "Short.")], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("mode", ["lossless", "conservative", "balanced", "aggressive", "extreme"])
+@pytest.mark.parametrize("mode", sorted(MODES))
 def test_compressor_invariants(spark, mode):
     docs = corpus(spark)
     out = {r.doc_id: r for r in engine.compress(docs, Config(mode)).collect()}
