@@ -29,8 +29,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from re import compile as pattern_of
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from . import textkernel as K
 N, ANCHORS, SHARE = 13, 3, 0.8
 SEGMENT_BYTES = 8_000_000
 SLICE_WORDS = 2_000_000
-_WORD = re.compile("[a-z0-9_\u0080-\U0010ffff]+")
+_WORD = pattern_of("[a-z0-9_\u0080-\U0010ffff]+")
 _INDEX = "terms binary, starts binary, low binary, high binary, top binary, doc_ids binary, doc_starts binary"
 _NAMES = [c.split()[0] for c in _INDEX.split(", ")]
 
