@@ -12,12 +12,19 @@ balanced classes on the driver, on at most ``TRAIN_ROWS`` labelled documents:
 those with the least hash of their id, so the bound doesn't depend on the
 input's order or size.  Scoring covers every row and every word of it.
 
-Result: (doc_id, score, accepted): the probability that the text is good, and
-whether it reaches ``threshold``.
+With ``reject_toxic``, as in the query and the pipeline, a second output is the
+probability that a text is toxic: naive Bayes over the presence of words that
+alone make a labelled text likelier toxic than not, and do so significantly: at
+most ``CHANCE`` of all words would pass by chance.  The machine's words can't do it: scaled to unit length, one insult
+in a long text is next to nothing.  ``score`` alone leaves toxicity to its caller.
+
+Result: (doc_id, score, accepted): the probability that the text is good (and not
+toxic), and whether it reaches ``threshold``.
 
 Defined cases: a null, empty or word-less text scores 0.0 and isn't accepted;
 null languages and sources have a cell of their own; labels with a null id or
-quality are ignored; without labels of both kinds every text that has words
+quality are ignored, those without a quality still teach toxicity and those
+without toxicity quality; of several labels of one id the worst counts; without labels of both kinds every text that has words
 scores 1.0; repeated rows are scored alike and stay; an empty table gives no
 rows; other columns are ignored.
 """
@@ -36,6 +43,7 @@ from . import textkernel as K
 CELLS, RANK = 1 << 14, 8
 LANG_CELLS, SOURCE_CELLS = 32, 128
 TRAIN_ROWS, EPOCHS, RATE, THRESHOLD = 12_000, 12, 0.02, 0.5
+CHANCE = 1
 STATS = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "punctuation", "non_ascii", "distinct", "top_word", "stutter", "lines", "marks"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,8 +65,8 @@ def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def features(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first entry of each text, feature numbers, values, words of each text); statistics aren't standardised yet."""
+def features(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each text, feature numbers, values, words of each text, hash and text of each word); statistics aren't standardised yet."""
     rows = len(offsets) - 1
     hashed, doc, _, length = K.words(_LOWER[data], offsets)
     count = np.bincount(doc, minlength=rows)
@@ -86,7 +94,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, source: np
     tail = (start[1:] - len(STATS) - 2)[:, None] + np.arange(len(STATS) + 2)
     number[tail] = np.concatenate([np.broadcast_to(STAT0 + np.arange(len(STATS)), dense.shape), (LANG0 + lang)[:, None], (SOURCE0 + source)[:, None]], 1)
     value[tail] = np.concatenate([dense, np.ones((rows, 2))], 1)
-    return start, number, value, count
+    return start, number, value, count, hashed, doc
 
 
 class Machine:
@@ -139,6 +147,34 @@ class Machine:
                     p[where] -= rate * (m[where] / (1 - 0.9**step)) / (np.sqrt(q[where] / (1 - 0.999**step)) + 1e-8)
 
 
+class Insults:
+    """Words that tell toxic texts, and the log odds of toxic by their presence and absence."""
+
+    def __init__(self, words: np.ndarray, owner: np.ndarray, toxic: np.ndarray):
+        """words, owner: distinct words of each text."""
+        names, inverse = np.unique(words, return_inverse=True)
+        many, few = toxic.sum(), (1 - toxic).sum()
+        bad = np.bincount(inverse, toxic[owner], len(names))
+        fine = np.bincount(inverse, minlength=len(names)) - bad
+        log = lambda x: np.log(np.maximum(x, 1e-12))
+        rows, seen = many + few, bad + fine
+        gain = 2 * sum(n * log(n * rows / np.maximum(total * kind, 1)) for n, total, kind in ((bad, seen, many), (fine, seen, few), (many - bad, rows - seen, many), (few - fine, rows - seen, few)))
+        tells = (bad > fine) & (gain > 2 * np.log(len(names) / CHANCE)) & (bad * few > fine * many)
+        self.words = names[tells]
+        p, q = (bad[tells] + 0.5) / (many + 1), (fine[tells] + 0.5) / (few + 1)
+        self.base = np.log(many / few) + np.log((1 - p) / (1 - q)).sum()
+        self.weight = np.log(p / q) - np.log((1 - p) / (1 - q))
+
+    def probability(self, hashed: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(rows)
+        at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
+        hit = np.flatnonzero(self.words[at] == hashed)
+        pair = np.unique(doc[hit] * len(self.words) + at[hit])
+        odds = self.base + np.bincount(pair // len(self.words), self.weight[pair % len(self.words)], rows)
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
 def _cell(column: str, cells: int) -> Column:
     return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(F.xxhash64(column), F.lit(cells - 1)) + 1).cast("int")
 
@@ -153,20 +189,27 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
         yield a, b, features(data, offsets, lang[a:b], source[a:b])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine | None:
-    """A machine fitted to the labelled documents of least hash; None if there aren't both kinds."""
-    labelled = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select(F.col("doc_id").alias("label_id"), "quality")
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, reject_toxic: bool = False) -> tuple[Machine | None, Insults | None]:
+    """A machine and insults fitted to the labelled documents of least hash; None for one whose labels aren't of both kinds."""
+    if not reject_toxic:
+        labels = labels.withColumn("toxic", F.lit(None).cast("int"))
+    labelled = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select(F.col("doc_id").alias("label_id"), "quality", "toxic")
     inputs = _inputs(docs).where("text IS NOT NULL")
-    found = inputs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "lang_cell", "source_cell", "quality")
+    found = inputs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "lang_cell", "source_cell", "quality", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, (start, number, value, _) in _blocks(batch):
+            for a, b, (start, number, value, count, hashed, _) in _blocks(batch):
                 cut = [slice(start[i], start[i + 1]) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(4).slice(a, b - a).cast(pa.int32()), pa.array([number[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([value[c].tobytes() for c in cut], pa.binary())], ["doc_id", "quality", "numbers", "cells"])
+                words = np.split(hashed, np.cumsum(count)[:-1]) if reject_toxic else [hashed[:0]] * (b - a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 4, 5)), *(pa.array(x, pa.binary()) for x in ([number[c].astype(np.int32).tobytes() for c in cut], [value[c].tobytes() for c in cut], [np.unique(w).tobytes() for w in words]))], ["doc_id", "quality", "toxic", "numbers", "cells", "words"])
+
+    rows = found.mapInArrow(run, "doc_id long, quality int, toxic int, numbers binary, cells binary, words binary").toArrow().sort_by("doc_id")
+    return _machine(rows.filter(rows["quality"].is_valid())), _insults(rows.filter(rows["toxic"].is_valid()))
 
-    rows = found.mapInArrow(run, "doc_id long, quality int, numbers binary, cells binary").toArrow().sort_by("doc_id")
+
+def _machine(rows: pa.Table) -> Machine | None:
     good = (rows["quality"].to_numpy() > 0).astype(np.float64)
     if not rows.num_rows or good.min() == good.max():
         return None
@@ -180,14 +223,25 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     return machine
 
 
-def _probability(fitted: Machine | None, start: np.ndarray, number: np.ndarray, value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    p = np.ones(len(count)) if fitted is None else 1 / (1 + np.exp(-np.clip(fitted.margins(start, number, fitted.scale(number, value)), -500, 500)))
+def _insults(rows: pa.Table) -> Insults | None:
+    toxic = (rows["toxic"].to_numpy() > 0).astype(np.float64)
+    if not rows.num_rows or toxic.min() == toxic.max():
+        return None
+    words = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
+    return Insults(np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words]), toxic)
+
+
+def _probability(fitted: tuple[Machine | None, Insults | None], start: np.ndarray, number: np.ndarray, value: np.ndarray, count: np.ndarray, hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    machine, insults = fitted
+    p = np.ones(len(count)) if machine is None else 1 / (1 + np.exp(-np.clip(machine.margins(start, number, machine.scale(number, value)), -500, 500)))
+    if insults is not None:
+        p = p * (1 - insults.probability(hashed, doc, len(count)))
     return np.where(count > 0, p, 0.0)
 
 
-def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, reject_toxic: bool = False) -> DataFrame:
     """(doc_id, score, accepted) for every row of docs."""
-    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
+    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows, reject_toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,9 +252,9 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, thre
     return _inputs(docs).mapInArrow(run, "doc_id long, score double, accepted boolean")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, reject_toxic: bool = True) -> DataFrame:
     """The accepted rows of docs with all their columns; each row is judged by its own text, in one pass without a join."""
-    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
+    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows, reject_toxic))
     inner = ["doc_id", "text", "lang_cell", "source_cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), reject_toxic=True)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,17 @@ def test_classifier_held_out(spark):
     assert np.mean([r.accepted for r in scored if r.quality == 1]) > 0.98
 
 
+def test_toxic_texts_are_rejected_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    held = F.xxhash64("doc_id") % 3 == 0
+    scored = quality.score(docs, labels.where(~held), reject_toxic=True).join(labels.where(held), "doc_id").collect()
+    kept = {r.doc_id for r in quality.accepted(docs, labels.where(~held)).select("doc_id").collect()}
+    for accepted in ([r.accepted for r in scored], [r.doc_id in kept for r in scored]):
+        assert np.mean([a for a, r in zip(accepted, scored) if r.toxic == 1]) < 0.1
+        assert np.mean([a for a, r in zip(accepted, scored) if r.quality == 1 and r.toxic == 0]) > 0.97
+
+
 def test_curve_visits_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     index = sharding.curve_index(cells, 3)
