@@ -9,8 +9,10 @@ over its texts and sums expected counts (starts, transitions, emissions); the
 sums are cut into pieces of the vocabulary, aggregated across partitions, and
 normalised.  What is gathered is one table of expected counts for each task, so
 it grows with the input, while the model that is sent out has a fixed size.
-``ITERATIONS`` rounds go over all texts; the first starts from corpus word
-frequencies, perturbed by a hash of (word, state), and from persistent states.
+Rounds go over all texts until one raises the corpus' log-likelihood by less than
+``TOLERANCE`` of it, and by no more than the round before (a start may be flat);
+the first starts from corpus word frequencies, perturbed by a hash of (word,
+state), and from persistent states.  The history is logged.
 
 *Scoring* is the scaled forward recursion: the logarithm of the exact likelihood
 of the whole word sequence of a text, summed over all state paths.
@@ -28,6 +30,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,7 @@ from . import storage
 from . import textkernel as K
 
 STATES, VOCAB, CLASSES = 6, 32_768, 256
-ITERATIONS = 2
+TOLERANCE = 1e-3
 SLOTS = 1 << 20
 PIECE = 4096
 BLOCK = 6_000_000
@@ -191,14 +194,14 @@ def count_words(texts: DataFrame, vocab: int = VOCAB) -> Vocabulary:
     return Vocabulary(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy())
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """(model, log-likelihood of the corpus before each iteration)."""
+def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int | None = None, tolerance: float = TOLERANCE) -> tuple[Model, list[float]]:
+    """(model, log-likelihood of the corpus before each iteration); iterations: stop after so many, converged or not."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)
     words = vocabulary.size
     model = Model.first(np.concatenate([vocabulary.counts, np.full(CLASSES, max(1.0, vocabulary.counts.sum() / CLASSES / 4) if len(vocabulary.counts) else 1.0)]), states)
-    history = []
-    for _ in range(iterations):
+    history, gains = [], []
+    while iterations is None or len(history) < iterations:
         given = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
@@ -230,15 +233,20 @@ def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
         history.append(float(head[-1]))
         model = Model.of_counts(head[:states], head[states:-1].reshape(states, states), np.concatenate([summed[k] for k in range(1, pieces)]).reshape(words, states))
         given.unpersist()
+        if len(history) > 1:
+            gains.append((history[-1] - history[-2]) / max(abs(history[-2]), 1e-300))
+            if gains[-1] < tolerance and gains[-1] <= min(gains[-2:]):
+                break
+    logging.getLogger(__name__).info("%d rounds, log-likelihoods %s", len(history), history)
     return model, history
 
 
-def score(docs: DataFrame, states: int = STATES, vocab: int = VOCAB, iterations: int = ITERATIONS) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, vocab: int = VOCAB, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, n_words, log_likelihood, perplexity) for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     vocabulary = count_words(texts, vocab)
-    model, _ = train(texts, vocabulary, states, iterations)
+    model, _ = train(texts, vocabulary, states, iterations, tolerance)
     sent = spark.sparkContext.broadcast((vocabulary, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

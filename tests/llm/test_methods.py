@@ -139,6 +139,13 @@ def test_baum_welch_raises_the_likelihood(spark, sf):
     assert all(b > a for a, b in zip(history, history[1:]))
 
 
+def test_baum_welch_runs_until_it_converges(spark, sf):
+    texts = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    _, history = hmm.train(texts, hmm.count_words(texts, 2000))
+    gains = [(b - a) / abs(a) for a, b in zip(history, history[1:])]
+    assert len(history) > 3 and gains[-1] < hmm.TOLERANCE and max(gains) > 10 * hmm.TOLERANCE
+
+
 def test_fingerprints_estimate_jaccard(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(4000)]
