@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_POW = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, dtype=np.uint64))
+#: Longest run of bytes that is hashed by powers; a longer one is hashed by xxhash.
+POWERS = 1024
+_POW = np.cumprod(np.full(POWERS, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of an n-gram hash; the ten bits above them number documents inside a block.
 GRAM_BITS = 54
@@ -44,6 +47,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def runs(data: np.ndarray, byte: np.ndarray | None, first: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes. byte: places of the runs' bytes in data, one run after another (None: all of data); first, start: where a run begins in byte, and in data."""
+    value = _BYTE[data if byte is None else data[byte]]
+    value *= _POW[(np.arange(len(value), dtype=np.int64) - np.repeat(first, length)) & (POWERS - 1)]
+    hashed = mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+    for i in np.flatnonzero(length > POWERS):
+        hashed[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + length[i]].tobytes())
+    return hashed
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if column.null_count:
@@ -85,10 +98,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     byte = np.flatnonzero(inside)
-    seg = np.cumsum(length) - length
-    within = np.arange(len(byte), dtype=np.int64) - np.repeat(seg, length)
-    value = _BYTE[data[byte]] * _POW[within & 1023]
-    hashed = mix(np.add.reduceat(value, seg) + length.astype(np.uint64))
+    hashed = runs(data, byte, np.cumsum(length) - length, start, length)
     return hashed, np.searchsorted(offsets, start, "right") - 1, start, length
 
 
