@@ -13,21 +13,23 @@ characters without a piece become byte pieces.
    distinct segment of a task is spelled out once.
 2. **Lattice.**  For each distinct segment of the corpus the substrings of up to
    the longest piece's length are exploded, equi-joined to the piece table,
-   grouped by segment, and folded from left to right by ``aggregate``, which
-   carries the best score and path of the last few positions.  Segments of more
-   than ``LONG`` characters are folded by the same recursion in linear time in
-   Python, since a path that is copied at each step grows quadratically.
+   grouped by segment in blocks of positions, and folded from left to right by
+   ``aggregate``, which carries the best score and last piece of each position; a
+   walk back from the last one gives the path.
 3. **Texts.**  The results go back to the tasks whose texts have the segments,
    as one written table partitioned by task, so that nothing is broadcast that
    grows with the corpus and texts are never shuffled.  Each task reads its own
    part, encodes its texts, decodes them again and compares.  A segment missing
-   from the part (a retried scan that was cut differently) is folded on the spot.
+   from the part (a retried scan that was cut differently), and those of a text
+   that isn't the decoded one (two segments of one hash), are folded on the spot.
 
 Result of :func:`encode`: (doc_id, n_pieces, ids, round_trip), ids being int
 arrays.  :func:`decode` is the inverse.
 
 Defined cases: a null text has null ids, null n_pieces and null round_trip; an
-empty one no ids; a literal U+2581 is a space; rows are kept as they are,
+empty one no ids; a literal U+2581 is a space; of paths with equal sums the one
+with the longest last piece, then the longest before it, is taken; a very long
+text or run without a cut is encoded like any other; rows are kept as they are,
 repeated or with null ids; an empty table gives no rows; other columns are
 ignored.
 """
@@ -49,7 +51,10 @@ from . import storage
 from . import textkernel as K
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG = 64
+#: Positions in a window of a long segment, and in a block of the fold.
+WINDOW, CHUNK = 64, 256
+#: Bytes of text that a task works on at once.
+BLOCK = 1 << 18
 #: Pieces with a score this low stand for no probability at all and are never used.
 NEVER = -1e8
 SPACE = "▁"
@@ -132,8 +137,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, spans: np.ndarray) -> tuple[
     edge[offsets[:-1][offsets[:-1] < len(data)]] = True
     start = np.flatnonzero(edge)
     length = np.diff(start, append=len(data))
-    within = np.arange(len(data)) - np.repeat(start, length)
-    hashed = K.mix(np.add.reduceat(K._BYTE[data] * K._POW[within & 1023], start) + length.astype(np.uint64))
+    hashed = K.runs(data, None, start, start, length)
     return hashed, np.searchsorted(offsets, start, "right") - 1, start, length
 
 
@@ -146,29 +150,43 @@ def lattice(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     """(hash, ids array<int>) of distinct (hash, segment), by the relational lattice."""
     given = pieces(model)
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in given.table.items()], "piece string, id int, score double")
+    longest = given.longest
     # placed by hash once: the explosions and the join keep that placement, so that the grouping moves no edges
-    short = words.where(F.length("segment") <= LONG).repartition(storage.partitions(spark), "hash")
-    # every substring that can be a piece; a single character always, since it is an edge even if unknown
-    parts = short.select("hash", F.length("segment").alias("n"), "segment", F.explode(F.expr("sequence(1, length(segment))")).alias("e")).select("hash", "n", "segment", "e", F.explode(F.expr(f"sequence(greatest(1, e - {given.longest - 1}), e)")).alias("b")).select("hash", "n", "e", "b", F.expr("substring(segment, b, e - b + 1)").alias("part"))
-    # the piece table is a model's, tens of thousands of rows whatever the corpus
-    edges = parts.join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("id IS NOT NULL OR b = e")
-    raw = F.translate("part", " ", SPACE)
-    edge = F.struct("e", "b", F.coalesce("score", F.lit(given.unknown_score)).alias("s"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.element_at(F.array(*[F.lit(int(x)) for x in given.bytes]), F.conv(F.substr(F.hex(F.encode(raw, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))).alias("ids"))
-    grouped = edges.groupBy("hash").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # best[k]: score and path up to position k; edges come by end, then by begin, so that of equal ones the longest piece stays
-    folded = grouped.select("hash", F.expr(f"""aggregate(edges, array(named_struct('s', 0D, 'ids', CAST(array() AS array<int>))),
-      (best, x) -> CASE WHEN size(best) = x.e
-        THEN concat(slice(best, 1, x.e), array(named_struct('s', best[x.b - 1].s + x.s, 'ids', concat(best[x.b - 1].ids, x.ids))))
-        WHEN best[x.b - 1].s + x.s > best[x.e].s
-        THEN concat(slice(best, 1, x.e), array(named_struct('s', best[x.b - 1].s + x.s, 'ids', concat(best[x.b - 1].ids, x.ids))))
-        ELSE best END, best -> element_at(best, -1).ids)""").alias("ids"))
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(model)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.fold(s) for s in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["hash", "ids"])
-
-    return folded.unionByName(words.where(F.length("segment") > LONG).mapInArrow(long, "hash long, ids array<int>"))
+    placed = words.repartition(storage.partitions(spark), "hash").where("segment <> ''")
+    # a long segment goes in windows, so that the cost of spelling substrings is linear in its length
+    window = placed.select("hash", "segment", F.length("segment").alias("n"), F.explode(F.expr(f"sequence(0, CAST((length(segment) - 1) div {WINDOW} AS int))")).alias("w"))
+    window = window.select("hash", "n", "w", F.expr(f"greatest(0, w * {WINDOW} - {longest - 1})").alias("skip"), "segment").select("hash", "n", "w", "skip", F.expr(f"substring(segment, skip + 1, (w + 1) * {WINDOW} - skip)").alias("part_of"))
+    ends = window.select("hash", "skip", "part_of", F.explode(F.expr(f"sequence(w * {WINDOW} + 1, least(n, (w + 1) * {WINDOW}))")).alias("e"))
+    # every substring that can be a piece, longest first; a single character always, since it is an edge even if unknown
+    parts = ends.select("hash", "skip", "part_of", "e", F.explode(F.expr(f"sequence(greatest(0, e - {longest}), e - 1)")).alias("b")).select("hash", "e", "b", F.expr("substring(part_of, b - skip + 1, e - b)").alias("part"))
+    # the piece table is a model's, tens of thousands of rows whatever the corpus; numbers are looked up faster than strings
+    keyed = table.withColumn("key", F.xxhash64("piece"))
+    edges = parts.join(F.broadcast(keyed), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left").where("id IS NOT NULL OR b = e - 1")
+    # what an edge does: 65536 times its piece (an unknown character's is its code point, below zero), and its length
+    does = F.coalesce("id", F.expr(f"CASE WHEN part = ' ' THEN -{ord(SPACE)} ELSE -ascii(part) END")).cast("long") * 65536 + (F.col("e") - F.col("b"))
+    # i: where the fold of the edge's block has the score of its begin
+    edge = F.struct("e", F.expr(f"b - greatest(0, CAST((e - 1) div {CHUNK} AS int) * {CHUNK} + {1 - longest})").alias("i"), F.coalesce("score", F.lit(given.unknown_score)).alias("s"), does.alias("v"))
+    blocks = edges.groupBy("hash", F.expr(f"CAST((e - 1) div {CHUNK} AS int)").alias("k")).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = blocks.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("k", "edges"))).alias("blocks"))
+    # aggregate copies what it carries at each step, so a block's fold carries the best scores (w) of the positions in reach and what was done (p) at those
+    # of the block; s, v: the best edge so far to position e.  Edges come by end, longest first, and only a better one replaces another
+    known = "coalesce(get(r.w, x.i), r.s) + x.s"
+    best = grouped.select("hash", F.expr(f"""aggregate(blocks, named_struct('w', CAST(array() AS array<double>), 's', 0D, 'v', 0L, 'p', CAST(array() AS array<array<bigint>>)),
+      (a, y) -> aggregate(y.edges, named_struct('w', a.w, 'p', CAST(array() AS array<bigint>), 'e', y.k * {CHUNK}, 's', a.s, 'v', a.v),
+        (r, x) -> CASE WHEN x.e > r.e THEN named_struct('w', concat(r.w, array(r.s)), 'p', concat(r.p, array(r.v)), 'e', x.e, 's', {known}, 'v', x.v)
+          WHEN {known} > r.s THEN named_struct('w', r.w, 'p', r.p, 'e', r.e, 's', {known}, 'v', x.v) ELSE r END,
+        r -> named_struct('w', slice(r.w, greatest(1, size(r.w) - {longest - 2}), {longest}), 's', r.s, 'v', r.v, 'p', concat(a.p, array(r.p)))),
+      a -> concat(a.p, array(array(a.v))))""").alias("best"))
+    walked = best.select("hash", F.expr("""reverse(flatten(aggregate(reverse(best), named_struct('skip', 0L, 'ids', CAST(array() AS array<array<int>>)),
+      (a, y) -> aggregate(reverse(y), named_struct('skip', a.skip, 'ids', CAST(array() AS array<int>)),
+        (r, v) -> CASE WHEN r.skip > 0 THEN named_struct('skip', r.skip - 1, 'ids', r.ids) WHEN v = 0 THEN r ELSE named_struct('skip', (v & 65535) - 1, 'ids', concat(r.ids, array(CAST(shiftright(v, 16) AS int)))) END,
+        r -> named_struct('skip', r.skip, 'ids', concat(a.ids, array(r.ids)))),
+      a -> a.ids)))""").alias("ids"))
+    byte = lambda x: f"element_at(array({', '.join(map(str, given.bytes.tolist()))}), CAST({x} AS int) + 1)"
+    more = lambda shift: byte(f"128 + (shiftright(-i, {shift}) & 63)")
+    spelled = f"""flatten(transform(ids, i -> CASE WHEN i >= 0 THEN array(i) WHEN i > -128 THEN array({byte("-i")}) WHEN i > -2048 THEN array({byte("192 + shiftright(-i, 6)")}, {more(0)})
+      WHEN i > -65536 THEN array({byte("224 + shiftright(-i, 12)")}, {more(6)}, {more(0)}) ELSE array({byte("240 + shiftright(-i, 18)")}, {more(12)}, {more(6)}, {more(0)}) END))"""
+    return walked.select("hash", F.expr(f"CASE WHEN exists(ids, i -> i < 0) THEN {spelled} ELSE ids END").alias("ids"))
 
 
 def _spelled(model: str):
@@ -177,7 +195,7 @@ def _spelled(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, spans = TaskContext.get().partitionId(), set(), pieces(model).spans
         for batch in batches:
-            for _, _, data, offsets in K.blocks(batch.column(1)):
+            for _, _, data, offsets in K.blocks(batch.column(1), max_bytes=BLOCK):
                 hashed, _, start, length = segments(data, offsets, spans)
                 found, at = np.unique(hashed, return_index=True)
                 new = np.array([h not in seen and not seen.add(h) for h in found.tolist()], bool)
@@ -196,7 +214,9 @@ def _part(path: str, task: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     folder = f"{root}/task={task}"
     if filesystem.get_file_info(folder).type != pyarrow.fs.FileType.Directory:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-    table = pyarrow.dataset.dataset(folder, filesystem=filesystem, format="parquet").to_table(columns=["hash", "ids"]).sort_by("hash").combine_chunks()
+    table = pyarrow.dataset.dataset(folder, filesystem=filesystem, format="parquet").to_table(columns=["hash", "ids"], use_threads=False).combine_chunks()
+    if not np.all(np.diff(table["hash"].to_numpy()) >= 0):  # more than one file
+        table = table.sort_by("hash").combine_chunks()
     hashed, lists = table["hash"].combine_chunks(), table["ids"].combine_chunks()
     hashed, lists = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (hashed, lists))
     # hashes are stored as signed numbers: sorted as such, and searched as such
@@ -209,7 +229,7 @@ def _encoded(model: str, path: str):
         known, first, flat = _part(path, TaskContext.get().partitionId())
         size = np.diff(first)
         for batch in batches:
-            for a, b, data, offsets in K.blocks(batch.column(1)):
+            for a, b, data, offsets in K.blocks(batch.column(1), max_bytes=BLOCK):
                 hashed, doc, start, length = segments(data, offsets, given.spans)
                 hashed = hashed.view(np.int64)
                 at = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
@@ -236,6 +256,13 @@ def _encoded(model: str, path: str):
                     same = wrong[offsets[1:]] == wrong[offsets[:-1]]
                 else:
                     same &= np.array([np.array_equal(spelled[reach[i] : reach[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(b - a)])
+                if not same.all():  # two segments of one hash, or a character that the pieces can't spell: these texts' segments are folded here
+                    own = {int(i): np.array([p for j in np.flatnonzero(doc == i) for p in given.fold(data[start[j] : start[j] + length[j]].tobytes().decode())], np.int32) for i in np.flatnonzero(~same)}
+                    texts = [own.get(i, ids[ends[i] : ends[i + 1]]) for i in range(b - a)]
+                    for i, x in own.items():
+                        same[i] = np.array_equal(given.spell(x)[0], data[offsets[i] : offsets[i + 1]])
+                    ids, per = np.concatenate(texts), np.array([len(x) for x in texts])
+                    ends = np.concatenate([[0], np.cumsum(per)])
                 null = np.array(batch.column(1).slice(a, b - a).is_null())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(per, mask=null), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array(null)), pa.array(same, mask=null)], ["doc_id", "n_pieces", "ids", "round_trip"])
         del known, first, flat
@@ -253,7 +280,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     found = lattice(spark, words.select("hash", "segment"), model).join(words.select("hash", "tasks"), "hash")
     path = storage.new_path(spark, "segments")
     with storage.shuffles_freed(spark):
-        found.select("hash", "ids", F.explode("tasks").alias("task")).repartition(storage.partitions(spark), "task").write.partitionBy("task").parquet(path)
+        found.select("hash", "ids", F.explode("tasks").alias("task")).repartition(storage.partitions(spark), "task").sortWithinPartitions("task", "hash").write.partitionBy("task").parquet(path)
     return texts.mapInArrow(_encoded(model, path), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
