@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import capture_index, decontaminate, fingerprints, hmm, jaccard_join, quality, sentencepiece, sharding, style_tree, token_counts
 
 
@@ -56,6 +54,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, so not part of the shipped package
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
