@@ -13,9 +13,14 @@ With m pages at a node, importance is
 * content, for a leaf whose l distinct texts are on c_1 ... c_l pages:
   ``1 - 1/l sum log_m c_i``, a text being spread evenly over its pages;
 * 1 where m = 1;
-* composite, from the leaves up, a level at a time: ``(1 - g^l) * presentation +
-  g^l * sum p_i * (mean composite of style i's children)`` with g = ``GAMMA``;
-  a leaf's is its content importance, a childless style counts 0.
+* composite: ``(1 - g^l) * presentation + g^l * sum p_i * (mean composite of style
+  i's children)`` with g = ``GAMMA``; a leaf's is its content importance, a
+  childless style counts 0.
+
+A composite is a weighted sum over all nodes below, so it is folded by doubling:
+after round k every node has the sums of the next 2^k levels, and a pointer to the
+node 2^k levels above.  The rounds grow with the logarithm of the depth, and pages
+may be nested to any depth.
 
 A branch is noise if its node and all nodes below have a composite importance
 under ``THRESHOLD`` (a mean alone would drop a body for its menus).  A second pass
@@ -24,12 +29,14 @@ such nodes are broadcast if they are at most ``BROADCAST_KEYS``; beyond that
 each page gets its own keys by a join.
 
 Result: (page_id, url, text, nodes, dropped): nodes of the page, and how many of
-them were in dropped branches.  Scripts, styles, comments and the head have no
-nodes; texts of block elements are on lines of their own.
+them were in dropped branches.  Scripts, styles, comments, noscript, templates and
+the head have no nodes; texts of block elements are on lines of their own.
 
 Defined cases: a null html has a null text and 0 nodes; a null or host-less url
-belongs to the host ''; broken markup is closed where a later tag implies it;
-elements nested deeper than ``DEPTH`` are taken as their children; repeated rows
+belongs to the host ''; broken markup is closed where a later tag implies it, a head
+without an end tag at the first element or text that belongs to a body, a script or
+style without one at the end of the page; a very long or deep page is handled like
+any other; branches of equal importance share their fate; repeated rows
 count, and come out, as often as they occur; an empty table gives no rows; other
 columns are ignored.
 """
@@ -38,6 +45,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,12 +57,15 @@ from pyspark.sql import functions as F
 from . import storage
 from . import textkernel as K
 
-GAMMA, THRESHOLD, DEPTH = 0.9, 0.2, 16
+GAMMA, THRESHOLD = 0.9, 0.2
 BROADCAST_KEYS = 2_000_000
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<[!?/][^>]*>|([^<]+|<)""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<[!?/][^>]*>|([^<]+|<)""", re.S | re.I)
 _CLASS = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code em font i kbd label mark q s samp small span strike strong sub sup tt u var".split())
+#: Elements without nodes, and those that a head may hold.
+_HIDDEN = frozenset("head noscript template".split())
+_OF_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _MASK = (1 << 64) - 1
 
 
@@ -75,36 +86,50 @@ class Node:
 def parse(source: str, signs: dict[str, int]) -> Node:
     """The page's tree; signs keeps the hashes of tags with their classes."""
     root = Node("", 0)
-    stack = [root]
+    stack, open_, head = [root], Counter(), 0  # head: place of an open head on the stack
+
+    def cut(k: int) -> None:
+        nonlocal head
+        open_.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+        if head >= k:
+            head = 0
+
     for token in _TOKEN.finditer(source):
         _, close, tag, rest, text = token.groups()
         if text is not None:
             text = " ".join(entities.unescape(text).split())
             if text:
+                if head and len(stack) == head + 1:
+                    cut(head)
                 stack[-1].children.append(Node("", 1, text))
             continue
         if not tag:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_[tag] > 0:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
+        if head and tag not in _OF_HEAD and not open_["noscript"] and not open_["template"]:
+            cut(head)
         if tag not in _INLINE and tag != "br":
             while stack[-1].tag in _INLINE or (stack[-1].tag == "p" and tag not in _VOID):
-                stack.pop()
+                cut(len(stack) - 1)
             if stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+                cut(len(stack) - 1)
         name = tag + "".join(sorted(v.strip("\"'") for v in _CLASS.findall(rest))) if rest else tag
         sign = signs.get(name)
         if sign is None:
             sign = signs[name] = xxhash.xxh64_intdigest(name)
         node = Node(tag, sign)
-        stack[-1].children.append(node)
-        if tag not in _VOID and not rest.endswith("/") and len(stack) < DEPTH:
+        if tag not in _HIDDEN:
+            stack[-1].children.append(node)
+        if tag not in _VOID and not rest.endswith("/"):
+            if tag == "head" and not head:
+                head = len(stack)
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -131,29 +156,20 @@ def extract(root: Node, low) -> tuple[str, int, int]:
     """(text, nodes, nodes in dropped branches) of a marked tree; low holds the keys of unimportant nodes."""
     out: list[str] = []
     nodes = dropped = 0
-
-    def count(node: Node) -> int:
-        return 1 + sum(map(count, node.children))
-
-    def walk(node: Node) -> None:
-        nonlocal nodes, dropped
-        if node.key in low:
-            n = count(node)
-            nodes, dropped = nodes + n, dropped + n
-            return
-        nodes += 1
-        if node.text is not None:
-            out.append(node.text)
-            return
-        block = node.tag not in _INLINE
-        if block:
+    todo: list[tuple[Node | None, bool]] = [(root, False)]  # None: a block ends; True: inside a dropped branch
+    while todo:
+        node, gone = todo.pop()
+        if node is None:
             out.append("\n")
-        for child in node.children:
-            walk(child)
-        if block:
+            continue
+        gone = gone or node.key in low
+        nodes, dropped = nodes + 1, dropped + gone
+        if not gone and node.text is not None:
+            out.append(node.text)
+        elif not gone and node.tag not in _INLINE:
             out.append("\n")
-
-    walk(root)
+            todo.append((None, False))
+        todo += [(child, gone) for child in reversed(node.children)]
     lines = " ".join(out).split("\n")
     return "\n".join(line for line in (line.strip() for line in lines) if line), nodes, dropped
 
@@ -189,23 +205,24 @@ def importance(occurrences: DataFrame, gamma: float = GAMMA) -> DataFrame:
     log_m = F.log("m")
     node = styles.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum(F.log("c")).alias("logc"), F.min("above").alias("above"), F.min("depth").alias("depth"), F.max("leaf").alias("leaf"))
     own = F.when(F.col("m") == 1, 1.0).when(F.col("leaf"), 1 - F.col("logc") / F.col("l") / log_m).otherwise((log_m - F.col("clogc") / F.col("m")) / log_m)
-    node = storage.written(node.select("key", "m", "l", "above", "depth", "leaf", own.alias("own")), "nodes")
-    deepest = node.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return node.select("key", F.col("own").alias("composite"), F.col("own").alias("highest"))
-    done = None
-    for depth in range(deepest, -1, -1):
-        here = node.where(F.col("depth") == depth)
-        if done is None:
-            inner = here.select("key", F.lit(0.0).alias("inside"), F.lit(0.0).alias("below"))
-        else:
-            means = done.groupBy(F.col("above").alias("style")).agg(F.avg("composite").alias("mean"), F.max("highest").alias("top"))
-            inner = styles.where((F.col("depth") == depth) & ~F.col("leaf")).join(means, "style").groupBy("key").agg(F.sum(F.col("c") * F.col("mean")).alias("inside"), F.max("top").alias("below"))
-        share = F.pow(F.lit(gamma), F.col("l"))
-        composite = F.when(F.col("leaf"), F.col("own")).otherwise((1 - share) * F.col("own") + share * F.coalesce("inside", F.lit(0.0)) / F.col("m"))
-        done = storage.written(here.join(inner, "key", "left").select("key", "above", composite.alias("composite"), F.greatest(composite, F.coalesce("below", F.lit(0.0))).alias("highest")), "composite")
-        total = done if depth == deepest else total.unionByName(done)  # noqa: F821
-    return total.select("key", "composite", "highest")
+    share = F.when(F.col("leaf"), 0.0).otherwise(F.pow(F.lit(gamma), F.col("l")))  # of what is below, in a node's composite
+    node = storage.written(node.select("key", "above", "m", share.alias("share"), ((1 - share) * own).alias("c")), "nodes")
+    # each node's parent, and its weight there: its style's share of pages, over the children of that style
+    siblings = node.groupBy(F.col("above").alias("style")).agg(F.count(F.lit(1)).alias("k"))
+    weights = styles.where("NOT leaf").join(siblings, "style").join(node.select("key", "m", "share"), "key").select(F.col("style").alias("above"), F.col("key").alias("up"), (F.col("share") * F.col("c") / F.col("m") / F.col("k")).alias("w"))
+    pointers = storage.written(node.join(weights, "above").select("key", "up", "w"), "pointers")
+    composite, levels = node.select("key", "c"), []
+    while not pointers.isEmpty():
+        levels.append(pointers)
+        below = pointers.join(composite, "key").groupBy(F.col("up").alias("key")).agg(F.sum(F.col("w") * F.col("c")).alias("more"))
+        composite = storage.written(composite.join(below, "key", "left").select("key", (F.col("c") + F.coalesce("more", F.lit(0.0))).alias("c")), "composite")
+        above = pointers.select(F.col("key").alias("up"), F.col("up").alias("upper"), F.col("w").alias("v"))
+        pointers = storage.written(pointers.join(above, "up").select("key", F.col("upper").alias("up"), (F.col("w") * F.col("v")).alias("w")), "pointers")
+    highest = composite.select("key", F.col("c").alias("h"))
+    for pointers in levels:
+        below = pointers.join(highest, "key").groupBy(F.col("up").alias("key")).agg(F.max("h").alias("more"))
+        highest = storage.written(highest.join(below, "key", "left").select("key", F.greatest("h", "more").alias("h")), "highest")
+    return composite.join(highest, "key").select("key", F.col("c").alias("composite"), F.col("h").alias("highest"))
 
 
 def extract_pages(pages: DataFrame, gamma: float = GAMMA, threshold: float = THRESHOLD, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
