@@ -12,10 +12,11 @@ slice's terms come from all segments first.  Then, in each segment:
 * exact phrase: every window of ``n`` words of an item (all its words if it has
   fewer) is found by intersecting offset-adjusted position lists, beginning with
   the window's rarest term and stopping at the first empty list;
-* proximity: around each occurrence of one of the item's ``anchors`` rarest
-  terms that the corpus has, within as many words to each side as the item is
-  long and inside the text, the item's distinct terms are counted; the item is
-  near if at least ``share`` of them are there.
+* proximity: around each occurrence of an *anchor*, within as many words to each
+  side as the item is long and inside the text, the item's distinct terms are
+  counted; the item is near if at least ``share`` of them are there.  Anchors are
+  the item's rarest terms, one more than the terms that may be absent, so that
+  every stretch with enough terms holds one.
 
 Result: (doc_id, item_id, phrases, first_word, near_terms): how many of the
 item's windows occur, the least word position of one in the text (null if none),
@@ -23,7 +24,8 @@ and the most terms counted around an anchor (0 if fewer than the share).
 
 Defined cases: null or word-less texts and items, and null ids, match nothing; a
 repeated row counts once in the result, texts or items that share an id are
-merged by maxima (first_word by minimum); empty tables give no rows; other
+merged by maxima (first_word by minimum); terms of equal counts are ranked by
+their spelling; a very long text is one segment, a very long item one slice; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from . import storage
 from . import textkernel as K
 
-N, ANCHORS, SHARE = 13, 3, 0.8
+N, SHARE = 13, 0.8
 SEGMENT_BYTES = 8_000_000
 SLICE_WORDS = 2_000_000
 _WORD = pattern_of("[a-z0-9_\u0080-\U0010ffff]+")
@@ -171,7 +173,7 @@ def _counts(index: DataFrame, terms) -> dict[int, int]:
     return dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist()))
 
 
-def _match(test, n: int, anchors: int, share: float):
+def _match(test, n: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: _Slice = test.value
         rank = np.empty(len(given.terms), np.int64)
@@ -207,7 +209,7 @@ def _match(test, n: int, anchors: int, share: float):
                     if (place[terms] >= 0).sum() < least:
                         continue
                     occurring = terms[given.counts[terms] > 0]
-                    rare = [t for t in occurring[np.argsort(rank[occurring])][:anchors] if place[t] >= 0]
+                    rare = [t for t in occurring[np.argsort(rank[occurring])][: len(occurring) - least + 1] if place[t] >= 0]
                     if not rare:
                         continue
                     doc, count = near([postings(t) for t in rare], [postings(t) for t in terms if place[t] >= 0], len(numbers), segment)
@@ -222,7 +224,7 @@ def _match(test, n: int, anchors: int, share: float):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: int = ANCHORS, share: float = SHARE, slice_words: int = SLICE_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, item_id, phrases, first_word, near_terms); see the module's text."""
     spark = docs.sparkSession
     index = build_index(docs)
@@ -234,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: in
         given = _Slice(held)
         for term, count in _counts(index, spark.sparkContext.broadcast(given.terms)).items():
             given.counts[term] = count
-        return index.mapInArrow(_match(spark.sparkContext.broadcast(given), n, anchors, share), "doc_id long, item_id long, phrases long, first_word long, near_terms long")
+        return index.mapInArrow(_match(spark.sparkContext.broadcast(given), n, share), "doc_id long, item_id long, phrases long, first_word long, near_terms long")
 
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text")).distinct()
     for row in items.toLocalIterator():
@@ -253,7 +255,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     return docs.join(contamination(docs, benchmark, **parameters).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def oracle_sql(n: int = N, anchors: int = ANCHORS, share: float = SHARE) -> str:
+def oracle_sql(n: int = N, share: float = SHARE) -> str:
     words = "regexp_extract_all(lower(text), '[a-z0-9_\\\\x{80}-\\\\x{10FFFF}]+')".replace("\\\\", "\\")
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     windows = f"CASE WHEN len(w) < {n} THEN [] ELSE [{{'at': i - 1, 'g': {gram}}} FOR i IN range(1, len(w) - {n - 2})] END"
@@ -266,7 +268,7 @@ hits AS (SELECT doc_id, item_id, i.u.at AS item_at, d.u.at AS pos FROM long_wind
  UNION ALL SELECT t.doc_id, s.item_id, 0, t.pos FROM short_items s JOIN tokens t ON t.term = s.w[1] JOIN texts x ON x.doc_id = t.doc_id WHERE list_slice(x.w, t.pos + 1, t.pos + s.m) = s.w),
 exact AS (SELECT doc_id, item_id, count(DISTINCT item_at) AS phrases, min(pos) AS first_word FROM hits GROUP BY doc_id, item_id),
 terms AS (SELECT DISTINCT item_id, len(w) AS m, len(list_distinct(w)) AS k, unnest(w) AS term FROM items),
-anchors AS (SELECT item_id, m, k, term FROM (SELECT t.*, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS r FROM terms t JOIN counts USING (term)) WHERE r <= {anchors}),
+anchors AS (SELECT item_id, m, k, term FROM (SELECT t.*, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS r, count(*) OVER (PARTITION BY item_id) AS held FROM terms t JOIN counts USING (term)) WHERE r <= held - ceil({share} * k - 1e-9) + 1),
 around AS (SELECT a.item_id, a.k, p.doc_id, p.pos, count(DISTINCT q.term) AS c FROM anchors a JOIN tokens p ON p.term = a.term JOIN terms t ON t.item_id = a.item_id JOIN tokens q ON q.doc_id = p.doc_id AND q.term = t.term AND q.pos BETWEEN p.pos - a.m AND p.pos + a.m GROUP BY a.item_id, a.k, p.doc_id, p.pos, a.term),
 near AS (SELECT doc_id, item_id, max(c) AS near_terms FROM around WHERE c >= ceil({share} * k - 1e-9) GROUP BY doc_id, item_id)
 SELECT coalesce(e.doc_id, v.doc_id) AS doc_id, coalesce(e.item_id, v.item_id) AS item_id, coalesce(phrases, 0) AS phrases, first_word, coalesce(near_terms, 0) AS near_terms FROM exact e FULL JOIN near v ON e.doc_id = v.doc_id AND e.item_id = v.item_id"""
