@@ -33,7 +33,7 @@ OPERATORS = {
     "keep_one": lambda s, d: jaccard_join.keep_one(d),
     "token_counts": lambda s, d: token_counts.token_counts(d, chunk_chars=2000, overlap=50),
     "sentencepiece": lambda s, d: sentencepiece.encode(d),
-    "hmm": lambda s, d: hmm.score(d, states=2, vocab=50, iterations=1),
+    "hmm": lambda s, d: hmm.score(d, states=2, iterations=1),
     "fingerprints": lambda s, d: fingerprints.fingerprints(d),
     "quality": lambda s, d: quality.score(d, labels(s)),
     "accepted": lambda s, d: quality.accepted(d, labels(s)),
@@ -57,6 +57,15 @@ def test_awkward_rows(spark, name):
     if name == "token_counts":
         assert [r.n_tokens for r in out if r.doc_id == 3] == [None]
         assert [r.n_tokens for r in out if r.doc_id == 4] == [0]
+    if name == "sentencepiece":
+        assert [(r.n_pieces, r.ids, r.round_trip) for r in out if r.doc_id == 3] == [(None, None, None)] and [(r.n_pieces, r.ids) for r in out if r.doc_id == 4] == [(0, [])]
+        assert all(r.round_trip for r in out if r.ids is not None)
+    if name == "hmm":
+        assert all((r.n_words, r.log_likelihood, r.perplexity) == (0, 0.0, None) for r in out if r.doc_id in (3, 4, 5)) and [r.n_words for r in out if r.doc_id in (6, 8)] in ([12000, 1], [1, 12000])
+    if name == "fingerprints":
+        assert all((r.n_grams, r.fingerprint) == (0, None) for r in out if r.doc_id in (3, 4, 5)) and len({str(r.fingerprint) for r in out if r.doc_id in (1, 2)}) == 1
+    if name == "sharding":
+        assert {r.doc_id: r.text for r in out if r.doc_id in (3, 4)} == {3: None, 4: ""} and len({r.shard for r in out if r.doc_id == 1}) == 1
     if name == "quality":
         assert all(not r.accepted and r.score == 0 for r in out if r.doc_id in (3, 4, 5))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpress.llm import capture_index, fingerprints, graph, hmm, jaccard_join, quality, sentencepiece, sharding, style_tree, token_counts
+from sparkpress.llm import capture_index, decontaminate, fingerprints, graph, hmm, jaccard_join, quality, sentencepiece, sharding, style_tree, token_counts
 from sparkpress.llm import textkernel as K
 
 
@@ -37,6 +37,17 @@ def test_words_are_runs_of_letters():
     assert len(set(hashed.tolist())) == 4
 
 
+def test_bytes_1024_apart_are_not_swapped_unseen(spark):
+    a, b = "a" + "e" * 1023 + "i", "i" + "e" * 1023 + "a"
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert jaccard_join.jaccard_pairs(docs).count() == 0
+    assert len({str(r.fingerprint) for r in fingerprints.fingerprints(docs).collect()}) == 2
+    assert decontaminate.contamination(docs, spark.createDataFrame([(7, a)], "item_id long, text string")).select("doc_id").collect() == [(1,)]
+    out = sentencepiece.encode(docs)
+    assert all(r.round_trip for r in out.collect())
+    assert {r.doc_id: r.text for r in sentencepiece.decode(out).collect()} == {1: a, 2: b}
+
+
 def test_rtree_bound_loses_no_pair(spark):
     rng = np.random.default_rng(5)
     base = [rng.integers(0, 1 << 54, n, dtype=np.uint64) for n in rng.integers(4, 2500, 60)]
@@ -99,7 +110,7 @@ def test_sentencepiece_is_the_library(spark, sf):
             piece.type = 5
     library = SentencePieceProcessor()
     library.LoadFromSerializedProto(proto.SerializeToString())
-    docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "c d  e\n\n f 漢字😀xyz "), (-2, " "), (-3, "ab" * 400)], "doc_id long, text string"))
+    docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "c d  e\n\n f 漢字😀xyz "), (-2, " "), (-3, "ab" * 400), (-4, "x" * 3000 + "日本語" * 900), (-5, "=-" * 700 + "\x01ÿ")], "doc_id long, text string"))
     out = sentencepiece.encode(docs)
     text = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id: r.ids for r in out.collect()} == {i: library.encode(t) for i, t in text.items()}
@@ -134,18 +145,76 @@ def test_hmm_is_the_sum_over_paths():
 
 def test_baum_welch_raises_the_likelihood(spark, sf):
     texts = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    vocabulary = hmm.count_words(texts, 2000)
-    _, history = hmm.train(texts, vocabulary, states=3, iterations=4)
+    _, history = hmm.train(texts, states=3, iterations=4)
     assert all(b > a for a, b in zip(history, history[1:]))
 
 
 def test_baum_welch_runs_until_it_converges(spark, sf):
     texts = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    _, history = hmm.train(texts, hmm.count_words(texts, 2000))
+    _, history = hmm.train(texts)
     gains = [(b - a) / abs(a) for a, b in zip(history, history[1:])]
     assert len(history) > 3 and gains[-1] < hmm.TOLERANCE and max(gains) > 10 * hmm.TOLERANCE
 
 
+def test_hmm_is_plain_baum_welch(spark):
+    """Rounds and scores against the same model in dense arrays, a text at a time; several tasks and blocks."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)] + ["ü" * 600]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    states, rounds = 3, 4
+    hashed = {w: K.words(*K.string_buffers(pa.array([w])))[0][0] for w in words}
+    names = np.array(sorted({hashed[w] for _, t in rows for w in (t or "").split()}), np.uint64)
+    texts = {i: np.searchsorted(names, np.array([hashed[w] for w in (t or "").split()], np.uint64)) for i, t in rows}
+    emit = np.bincount(np.concatenate(list(texts.values())).astype(int), minlength=len(names))[:, None] * hmm.Model.noise(names, states) + hmm.FLOOR
+    start, move = hmm.Model.first(states)
+    log = {}
+    for k in range(rounds + 1):
+        model = hmm.Model(start, move, emit / emit.sum(0))
+        sums = [np.full(states, hmm.FLOOR), np.full((states, states), hmm.FLOOR), np.full((len(names), states), hmm.FLOOR)]
+        for i, x in texts.items():
+            alpha = np.zeros((len(x), states))
+            scale = np.ones(len(x))
+            for t, w in enumerate(x):
+                alpha[t] = (start if t == 0 else alpha[t - 1] @ move) * model.emit[w]
+                scale[t] = alpha[t].sum()
+                alpha[t] /= scale[t]
+            log[i] = np.log(scale).sum()
+            beta = np.ones(states)
+            for t in range(len(x) - 1, -1, -1):
+                gamma = alpha[t] * beta
+                sums[2][x[t]] += gamma
+                if t == 0:
+                    sums[0] += gamma
+                else:
+                    behind = model.emit[x[t]] * beta / scale[t]
+                    sums[1] += move * np.outer(alpha[t - 1], behind)
+                    beta = move @ behind
+        if k < rounds:
+            start, move, emit = sums[0] / sums[0].sum(), sums[1] / sums[1].sum(1, keepdims=True), sums[2]
+    got = {r.doc_id: r for r in hmm.score(docs, states=states, iterations=rounds).collect()}
+    assert got.keys() == log.keys() and all(math.isclose(got[i].log_likelihood, log[i], rel_tol=1e-3, abs_tol=1e-6) for i in log)
+    assert all(got[i].n_words == len(x) and (math.isclose(got[i].perplexity, math.exp(-log[i] / len(x)), rel_tol=1e-3) if len(x) else got[i].perplexity is None) for i, x in texts.items())
+
+
+def test_fingerprints_are_brute_force(spark, sf):
+    """Bins and densification of each text's grams, one at a time."""
+    rows = read(spark, sf, "documents").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in fingerprints.fingerprints(read(spark, sf, "documents")).collect()}
+    bins, low = 128, (1 << (K.GRAM_BITS - 7)) - 1
+    donors = fingerprints._donors(bins, 5000).tolist()
+    for r, grams in zip(rows, gram_sets([r.text for r in rows])):
+        least = {}
+        for g in grams:
+            least[g >> (K.GRAM_BITS - 7)] = min(g & low, least.get(g >> (K.GRAM_BITS - 7), low))
+        if not grams:
+            assert got[r.doc_id].n_grams == 0 and got[r.doc_id].fingerprint is None
+            continue
+        value = [least[b] if b in least else next(least[d[b]] for d in donors if d[b] in least) for b in range(bins)]
+        packed = [sum((value[16 * k + j] & 15) << (4 * j) for j in range(16)) for k in range(8)]
+        assert got[r.doc_id].n_grams == len(grams) and [x % 2**64 for x in got[r.doc_id].fingerprint] == packed
+
+
 def test_fingerprints_estimate_jaccard(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(4000)]
@@ -198,6 +267,69 @@ def test_style_tree_importance(spark, sf):
         assert "same for all" not in out[3] and "Home" not in out[3] and "text 3 here" in out[3] and out[9] == "single page"
 
 
+def test_boilerplate_nested_deep_goes(spark):
+    deep = "<div class=a>" * 40
+    page = "<html><head><title>t</title><body>{0}<ul><li>Home</li><li>About</li></ul>" + "</div>" * 40 + "<main>{1}</main>"
+    rows = [(i, f"http://h.org/{i}", page.format(deep, f"<p>article {i} here</p>" * (1 + i % 3))) for i in range(12)]
+    out = {r.page_id: r for r in style_tree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i].text == "\n".join([f"article {i} here"] * (1 + i % 3)) and out[i].dropped == 45 for i in range(12))
+
+
+def test_page_texts_are_an_independent_parsers(spark, sf):
+    """Nothing dropped: the words of each page's body, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("head", "script", "style", "noscript", "template")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("head", "script", "style", "noscript", "template")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words.append(data)
+
+    pages = read(spark, sf, "pages")
+    out = {r.page_id: r for r in style_tree.extract_pages(pages, threshold=-1.0).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html)
+        reader.close()
+        assert "".join(out[r.page_id].text.split()) == "".join("".join(reader.words).split()) and out[r.page_id].dropped == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>t</title><body><h1>Title</h1><p>hello world</p>", "Title\nhello world"), ("<head-line>a</head-line><p>b", "a\nb"), ("<template-card>x</template-card>z", "x\nz"),
+    ("<head><script>var a = '</head>'</script></head><body>ok<noscript>no</noscript> yes", "ok yes"), ("<script>never ends <p>x", ""), ("<p>one<p>two", "one\ntwo"), ("<div>" * 5000 + "deep", "deep"),
+])
+def test_broken_markup(html, text):
+    root = style_tree.parse(html, {})
+    style_tree.mark(root, 1)
+    assert style_tree.extract(root, frozenset())[0] == text
+
+
+def test_near_items_without_their_rarest_terms(spark):
+    """A text that lacks an item's rarest terms, but holds enough of the others, is near."""
+    item = " ".join(f"t{i}" for i in range(20))
+    text = " ".join("gone" if i < 4 else f"t{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text)] + [(2 + i, " ".join(f"t{j}" for j in range(4, 20, 3))) for i in range(5)] + [(20, "t0 t1 t2 t3")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.near_terms) for r in found] == [(1, 16)] and found[0].phrases == 1 + 16 - 13
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5, 6, 20]
+
+
+def test_segments_and_slices_give_one_result(spark, sf):
+    docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    whole = sorted(decontaminate.contamination(docs, items).collect())
+    assert sorted(decontaminate.contamination(docs, items, slice_words=300).collect()) == whole
+
+
 def test_machine_is_the_pairwise_sum():
     rng = np.random.default_rng(1)
     machine = quality.Machine(np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)))
