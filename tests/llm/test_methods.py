@@ -78,10 +78,19 @@ def test_jaccard_join_is_brute_force(spark, sf):
         reps.setdefault(s, r.doc_id)
     want = {(reps[s], r.doc_id) for r, s in zip(rows, sets) if s and reps[s] != r.doc_id}
     points = [(i, s) for s, i in reps.items() if s]
-    want |= {(min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(points, 2) if len(s & t) >= 0.6 * len(s | t) - 1e-9}
+    want |= {(min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(points, 2) if len(s & t) >= jaccard_join.THRESHOLD * len(s | t) - 1e-9}
     assert {(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_pairs(docs).collect()} == want
 
 
+def test_expanded_join_lists_every_pair(spark, sf):
+    docs = read(spark, sf, "documents")
+    rows = docs.collect()
+    sets = [(r.doc_id, s) for r, s in zip(rows, gram_sets([r.text for r in rows])) if s]
+    want = {(min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(sets, 2) if len(s & t) >= jaccard_join.THRESHOLD * len(s | t) - 1e-9}
+    found = [(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_pairs(docs, expand=True).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 9), (20, 21)], "a long, b long")
     found = {r.node: r.component for r in graph.components(edges).collect()}
