@@ -263,6 +263,7 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
             for a, b, found in _blocks(pa.RecordBatch.from_arrays(batch.columns[-len(inner) :], inner)):
                 keep[a:b] = _probability(machine.value, *found) >= threshold
             kept = batch.filter(pa.array(keep))
+            K.release()
             yield pa.RecordBatch.from_arrays(kept.columns[: -len(inner)], kept.schema.names[: -len(inner)])
 
     given = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), _cell("lang", LANG_CELLS).alias("__lang"), _cell("source", SOURCE_CELLS).alias("__source"))

@@ -189,20 +189,29 @@ def lattice(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     return walked.select("hash", F.expr(f"CASE WHEN exists(ids, i -> i < 0) THEN {spelled} ELSE ids END").alias("ids"))
 
 
-def _spelled(model: str):
+def _spelled(spans: np.ndarray):
     """Each distinct segment of a task, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, spans = TaskContext.get().partitionId(), set(), pieces(model).spans
+        task, seen, fresh = TaskContext.get().partitionId(), np.zeros(0, np.uint64), []
         for batch in batches:
             for _, _, data, offsets in K.blocks(batch.column(1), max_bytes=BLOCK):
                 hashed, _, start, length = segments(data, offsets, spans)
                 found, at = np.unique(hashed, return_index=True)
-                new = np.array([h not in seen and not seen.add(h) for h in found.tolist()], bool)
-                at, raw = at[new], data.tobytes()
-                spelled = [raw[s:e] for s, e in zip(start[at].tolist(), (start[at] + length[at]).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), task, np.int32)), pa.array(found[new].view(np.int64)), pa.array(spelled, pa.binary()).cast(pa.string())], ["task", "hash", "segment"])
-        seen.clear()
+                for known in (seen, *fresh):
+                    if len(known):
+                        new = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] != found
+                        found, at = found[new], at[new]
+                fresh.append(found)
+                if len(fresh) >= 16:
+                    seen, fresh = np.sort(np.concatenate([seen, *fresh])), []
+                size = length[at]
+                ends = np.cumsum(size)
+                chars = data[np.arange(int(size.sum())) + np.repeat(start[at] - (ends - size), size)]
+                text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(chars)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), task, np.int32)), pa.array(found.view(np.int64)), text], ["task", "hash", "segment"])
+            K.release()
+        del seen, fresh
         K.release()
 
     return run
@@ -275,7 +284,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip) for every row of docs."""
     spark = docs.sparkSession
     texts = _prepared(docs)
-    spelled = texts.mapInArrow(_spelled(model), "task int, hash long, segment string")
+    spelled = texts.mapInArrow(_spelled(pieces(model).spans), "task int, hash long, segment string")
     words = storage.written(spelled.groupBy("hash").agg(F.first("segment").alias("segment"), F.collect_set("task").alias("tasks")), "words")
     found = lattice(spark, words.select("hash", "segment"), model).join(words.select("hash", "tasks"), "hash")
     path = storage.new_path(spark, "segments")

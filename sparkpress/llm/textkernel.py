@@ -26,7 +26,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of an n-gram hash; the ten bits above them number documents inside a block.
 GRAM_BITS = 54
 BLOCK_DOCS = 1 << (64 - GRAM_BITS)
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 400_000
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library
