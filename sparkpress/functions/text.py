@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +39,99 @@ def piece_cost(piece: Column) -> Column:
     )
 
 
+_CLASS = np.full(256, 3, np.int8)  # 0 white space, 1 letter, 2 digit, 3 punctuation, 4 underscore
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_CLASS[95] = 4
+
+
+def _costs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Estimated tokens of texts that stand one after another: runs of one class of bytes, priced as ``piece_cost`` prices pieces."""
+    if not len(data):
+        return np.zeros(len(offsets) - 1, np.int64)
+    kind = _CLASS[data]
+    edge = np.empty(len(data), bool)
+    edge[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+    start = np.flatnonzero(edge)
+    stop = np.append(start[1:], len(data))
+    kind = kind[start]
+    doc = np.searchsorted(offsets, start, "right") - 1
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    n = chars[stop] - chars[start]
+    # an apostrophe that begins a piece takes s, d, m, t, ll, ve or re after it
+    quote = np.flatnonzero((kind[:-1] == 3) & (kind[1:] == 1) & (n[:-1] == 1) & (data[start[:-1]] == 39) & (doc[:-1] == doc[1:]))
+    lone = (quote > 0) & (kind[quote - 1] == 0) & (n[quote - 1] == 1) & (data[start[quote - 1]] == 32) & (doc[quote - 1] == doc[quote])
+    quote = quote[~lone]
+    at = start[quote + 1]
+    one = np.isin(data[at], np.frombuffer(b"sdmt", np.uint8))
+    pair = data[at].astype(np.int64) << 8 | data[np.minimum(at + 1, len(data) - 1)]
+    two = (n[quote + 1] > 1) & np.isin(pair, [x[0] << 8 | x[1] for x in (b"ll", b"ve", b"re")])
+    take = np.where(two, 2, np.where(one, 1, 0))
+    n[quote + 1] -= take
+    short = start.copy()
+    short[quote + 1] += take
+    cost = np.where(kind == 2, (n + 2) // 3, np.ceil(n / 3.2)).astype(np.int64)
+    word = np.where(n <= 4, np.minimum(n, 1), np.maximum(1, np.floor(n / 7.8 + 0.95))).astype(np.int64)
+    long = np.flatnonzero((kind == 1) & (n > 12))
+    upper = np.concatenate([[0], np.cumsum((data > 64) & (data < 91))])
+    word[long] += upper[stop[long]] > upper[short[long]]
+    wide = np.concatenate([[0], np.cumsum(data > 127)])
+    for i in long[(upper[stop[long]] == upper[short[long]]) & (wide[stop[long]] > wide[short[long]])]:
+        piece = data[short[i] : stop[i]].tobytes().decode()
+        word[i] += piece.lower() != piece
+    cost = np.where(kind == 1, word, cost)
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    newlines = lines[stop] - lines[start]
+    cost = np.where(kind == 0, newlines + (n - newlines > 1), cost)
+    rare = np.concatenate([[0], np.cumsum((data == 11) | (data == 12))])
+    for i in np.flatnonzero((kind == 0) & (rare[stop] > rare[start])):  # vertical tabs and form feeds stay inside a piece when it is trimmed
+        cost[i] = -(-len(data[start[i] : stop[i]].tobytes().decode().translate({9: 32, 10: 32, 13: 32}).strip(" ")) * 10 // 32)
+    cost[quote] = np.where(take > 0, 1, cost[quote])
+    return np.bincount(doc, cost, len(offsets) - 1).astype(np.int64)
+
+
+def _token_counts(column: pa.Array) -> pa.Array:
+    filled = column.fill_null("").cast(pa.large_string())
+    _, offs, raw = filled.buffers()
+    offsets = np.frombuffer(offs, np.int64)[filled.offset : filled.offset + len(filled) + 1] if len(filled) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    out, first = [np.zeros(0, np.int64)], 0
+    while first < len(filled):  # bounded runs of texts
+        last = min(max(int(np.searchsorted(offsets, offsets[first] + 1_000_000, "right")) - 1, first + 1), len(filled))
+        out.append(_costs(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]))
+        first = last
+    return pa.array(np.concatenate(out), mask=np.array(column.is_null()))
+
+
+@functools.cache
+def _token_counter():
+    return F.arrow_udf(_token_counts, "long")
+
+
 def token_count(text: Column) -> Column:
-    """Vocabulary-free estimate of the number of subword tokens; 0 for an empty text, null for null."""
-    return F.aggregate(matches(text, PIECES), F.lit(0).cast("long"), lambda total, piece: total + piece_cost(piece))
+    """Vocabulary-free estimate of the number of subword tokens; 0 for an empty text, null for null. A kernel on Arrow batches of bytes: the same sum over regex pieces costs ten times as much."""
+    return _token_counter()(text)
+
+
+#: Abbreviations after which a full stop ends no sentence.
+ABBREVIATIONS = "Dr|Mr|Mrs|Ms|Prof|St|Sr|Jr|vs|etc|cf|al|No|Fig|Eq|Vol|pp|Inc|Ltd|Co|Corp|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|[eE][.]g|[iI][.]e|[A-Z]"
+_SHORT = rf"\b({ABBREVIATIONS})[.] "
+_BREAK = r"([.!?]+[\"')\]]*)(\s+)([^a-z\s])"
+
+
+def sentence_array(text: Column) -> Column:
+    """Sentences with the white space before them: cut after . ! ? (and closing quotes) and white space, not after an abbreviation or an initial, not before a lower-case letter. Their lengths add up to the text's."""
+    held = F.regexp_replace(text, _SHORT, "$1.\u0002")
+    return F.transform(F.split(F.regexp_replace(held, _BREAK, "$1\u0001$2$3"), "\u0001"), lambda s: F.translate(s, "\u0002", " "))
+
+
+def sentence_sql(text: str = "text") -> str:
+    """The same as DuckDB SQL."""
+    quoted = lambda p: p.replace("'", "''")
+    return f"[translate(x, chr(2), ' ') FOR x IN string_split(regexp_replace(regexp_replace({text}, '{quoted(_SHORT)}', '\\1.' || chr(2), 'g'), '{quoted(_BREAK)}', '\\1' || chr(1) || '\\2\\3', 'g'), chr(1))]"
 
 
 def words(text: Column) -> Column:

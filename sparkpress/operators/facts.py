@@ -49,16 +49,17 @@ def phrases(units: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def facts(units: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, class, literal, fact, weight) of all classes."""
-    every = None
-    for name, *_ in lexicon.LITERALS:
-        rows = literals(units, name, key)
-        every = rows if every is None else every.unionByName(rows)
+    # all classes in one pass over the text: an array of matches for each, flattened and exploded once
+    def of(name: str, pattern: str) -> Column:
+        return F.transform(T.matches(F.col("text"), pattern), lambda m: F.struct(F.lit(name).alias("class"), m.alias("literal")))
+
+    every = units.where("text IS NOT NULL").select(key, F.explode(F.flatten(F.array(*[of(name, p) for name, _, _, p in lexicon.LITERALS]))).alias("x")).select(key, "x.*")
     found = every.withColumn("fact", fact_key(F.col("class"), F.col("literal"))).where("fact IS NOT NULL").unionByName(phrases(units, key))
     return found.withColumn("weight", F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("class")))
 
 
 def merge(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(fact, class, literal, weight, owners, n_owners): one row a fact, with the units that hold it."""
+    """(fact, class, literal, weight, n_owners): one row a fact, with the number of units that hold it."""
     return found.groupBy("fact").agg(F.min("class").alias("class"), F.min_by("literal", F.struct(key, "literal")).alias("literal"), F.max("weight").alias("weight"), F.count_distinct(key).alias("n_owners"))
 
 
@@ -113,3 +114,27 @@ def merge_spans(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(order)
     return rows.select(key, "start", "stop", before.alias("before")).withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+
+
+def coverage(queries: DataFrame, units: DataFrame, query_key: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """(query key, key, coverage): share of a query's distinct words that a text has, for pairs that share one; an equi-join on words."""
+    words = lambda df, name: df.select(name, F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    asked = queries.select(query_key, "text").withColumn("size", F.size(F.array_distinct(T.words(F.col("text")))))
+    q = asked.select(query_key, "size", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    return words(units, key).join(q, "word").groupBy(query_key, key, "size").agg(F.count(F.lit(1)).alias("n")).select(query_key, key, (F.col("n") / F.col("size")).alias("coverage"))
+
+
+def answerable(gold: DataFrame, texts: DataFrame, gold_key: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """(key, gold key) of texts that contain a gold span, in canonical form.
+
+    A span of three words or more is joined on its longest inner word, which a text that contains it must have
+    as a whole word, and then looked up; shorter ones have no such word and are compared with every text.
+    """
+    g = gold.select(gold_key, T.canonical(F.col("text")).alias("gold")).withColumn("w", F.split("gold", " "))
+    body = texts.select(key, T.canonical(F.col("text")).alias("body"))
+    anchored = g.where(F.size("w") >= 3).select(gold_key, "gold", F.array_max(F.transform(F.expr("slice(w, 2, size(w) - 2)"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("word"))
+    words = body.select(key, "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    # only the words are moved to the spans; the texts of candidates follow
+    near = words.select(key, "word").join(anchored, "word").select(key, gold_key, "gold").join(body, key).where(F.contains("body", "gold")).select(key, gold_key)
+    few = g.where(F.size("w") < 3).select(gold_key, "gold")
+    return near.unionByName(body.join(few, F.contains("body", "gold")).select(key, gold_key))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def adjacency(units: DataFrame, reach: int = 3) -> DataFrame:
     """(src, dst, weight) between units (doc, uid, ord) up to ``reach`` places apart, 0.45 e^(-d/3), both ways."""
@@ -104,3 +106,24 @@ def edge_layout(values: DataFrame) -> DataFrame:
     part = Window.partitionBy("doc")
     ranked = values.withColumn("r", F.row_number().over(part.orderBy(F.desc("value"), "uid"))).withColumn("n", F.count(F.lit(1)).over(part))
     return ranked.select("doc", "uid", F.when(F.col("r") % 2 == 1, F.floor((F.col("r") + 1) / 2)).otherwise(F.col("n") + 1 - F.floor(F.col("r") / 2)).cast("long").alias("place"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the least id that each node with an edge reaches.
+
+    Every round links a node's neighbours to the least id around it, larger ones first and then smaller ones,
+    until nothing changes: rounds grow with the logarithm of the longest path, and each is written.
+    """
+    now = shared.written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        upper = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lower = upper.join(upper.groupBy("u").agg(F.min("v").alias("m")), "u")
+        now = shared.written(lower.select("u", F.col("m").alias("v")).unionByName(lower.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

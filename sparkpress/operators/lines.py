@@ -38,11 +38,22 @@ def flags(rows: DataFrame, patterns: dict[str, str], column: str = "line") -> Da
 
 
 def simple_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n, sentence): cut after . ! ? and white space."""
-    parts = docs.select(key, F.posexplode(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001")).alias("n", "sentence"))
+    """(key, n, sentence) of the rule in ``text.sentence_array``."""
+    parts = docs.select(key, F.posexplode(T.sentence_array(F.col("text"))).alias("n", "sentence"))
     return parts.select(key, (F.col("n") + 1).cast("long").alias("n"), F.trim("sentence").alias("sentence")).where("sentence <> ''")
 
 
+def sentence_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n, start, stop, sentence): trimmed sentences with their character offsets, each document's by a running sum inside its own array."""
+    s = T.sentence_array(F.col("text"))
+    ends = F.aggregate(F.transform(s, F.length), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    parts = docs.where("text IS NOT NULL").select(key, F.posexplode(F.arrays_zip(s.alias("s"), ends.alias("at"))).alias("n", "x")).where("x.s IS NOT NULL")
+    lead = F.length("x.s") - F.length(F.regexp_replace("x.s", r"^\s+", ""))
+    body = F.regexp_replace("x.s", r"^\s+|\s+$", "")
+    found = parts.select(key, (F.col("n") + 1).cast("long").alias("n"), (F.col("x.at") + lead).cast("long").alias("start"), body.alias("sentence")).where("sentence <> ''")
+    return found.select(key, "n", "start", (F.col("start") + F.length("sentence")).alias("stop"), "sentence")
+
+
 def fences(rows: DataFrame) -> DataFrame:
     """Label lines (doc_id, n, line): fence lines are markdown, lines inside a fence have its language or 'code', others are 'open'."""
     order = Window.partitionBy("doc_id").orderBy("n")

@@ -71,9 +71,9 @@ def log_templates(lines: DataFrame) -> DataFrame:
     return agg.select("*", severity.cast("long").alias("severity")).withColumn("anomalous", (F.col("lines") == 1) | (F.col("severity") >= 4))
 
 
-def attach_frames(lines: DataFrame) -> DataFrame:
-    """(idx, owner): stack frames belong to the last error line before them, if nothing but frames stands between."""
-    order = Window.orderBy("idx") if "source" not in lines.columns else Window.partitionBy("source").orderBy("idx")
+def attach_frames(lines: DataFrame, stream: str = "source") -> DataFrame:
+    """(idx, owner) within each stream of lines: stack frames belong to the last error line before them, if nothing but frames stands between."""
+    order = Window.partitionBy(stream).orderBy("idx")
     frame = F.col("line").rlike(lexicon.STACK_FRAME)
     error = F.col("level").isin("ERROR", "ERR", "FATAL", "CRITICAL", "SEVERE", "PANIC")
     parsed = parse_logs(lines).withColumn("frame", frame)

@@ -95,19 +95,14 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.provenance(_units(spark), _units(spark, KEPT))
 
 
-@query("query_coverage", f"WITH q AS (SELECT item_id, list_distinct({_W}) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct({_W}) AS w FROM documents WHERE doc_id < 50) SELECT item_id, doc_id, round(len(list_intersect(q, w)) / len(q), 6) AS coverage FROM q, d")
+@query("query_coverage", f"WITH q AS (SELECT item_id, list_distinct({_W}) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct({_W}) AS w FROM documents) SELECT item_id, doc_id, coverage FROM (SELECT item_id, doc_id, round(len(list_intersect(q, w)) / len(q), 6) AS coverage, len(list_intersect(q, w)) AS n FROM q, d) WHERE n > 0")
 def query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.words(F.col("text"))).alias("q"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("w"))
-    return d.crossJoin(q).select("item_id", "doc_id", F.round(F.size(F.array_intersect("q", "w")) / F.size("q"), 6).alias("coverage"))
+    return facts.coverage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("answerability", f"WITH g AS (SELECT item_id, {_CANON.format('text')} AS gold FROM benchmark), d AS (SELECT doc_id, {_CANON.format('text')} AS body FROM documents) SELECT doc_id, item_id FROM d JOIN g ON contains(body, gold)")
 def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold spans that a text still contains, in canonical form. Containment has no equi-key: the gold spans are few and are the broadcast side."""
-    gold = table(spark, sf_dir, "benchmark").select("item_id", T.canonical(F.col("text")).alias("gold"))
-    body = table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("body"))
-    return body.join(gold, F.contains("body", "gold")).select("doc_id", "item_id")
+    return facts.answerable(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query("number_recall", f"WITH s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+([.][0-9]+)?')) AS n FROM {_U}), o AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+([.][0-9]+)?')) AS n FROM {_K}) SELECT s.doc_id, round(count(o.n) / count(*), 6) AS recall FROM s LEFT JOIN o ON s.doc_id = o.doc_id AND s.n = o.n GROUP BY s.doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import similarity, terms
+from ..operators import graphs, similarity, terms
 from .aggregates import _VEC, weights_of
 from .registry import fixture, query, table, values
 from .text import _HASH
@@ -20,7 +20,7 @@ def _shingles(k: int, source: str = "documents") -> str:
 
 
 _H = "CAST(('0x' || substr(md5(shingle), 1, 15)) AS BIGINT)"
-_SIM = f"{_shingles(4, '(SELECT * FROM documents WHERE doc_id < 400)')}, h AS (SELECT doc_id, {_H} AS h FROM s4), f AS (SELECT doc_id, " + " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(60)) + " AS fingerprint FROM h GROUP BY doc_id)"
+_SIM = f"{_shingles(4, 'documents')}, h AS (SELECT doc_id, {_H} AS h FROM s4), f AS (SELECT doc_id, " + " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(60)) + " AS fingerprint FROM h GROUP BY doc_id)"
 
 
 @query("dup_exact", "SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
@@ -38,31 +38,42 @@ def dup_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("simhash", f"WITH {_SIM} SELECT doc_id, fingerprint FROM f")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.simhash(_docs(spark, sf_dir).where("doc_id < 400"))
+    return similarity.simhash(_docs(spark, sf_dir))
 
 
 @query("simhash_pairs", f"WITH {_SIM}, b AS (SELECT doc_id, fingerprint, band, (fingerprint >> (band * 10)) & 1023 AS value FROM f, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS band)) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.fingerprint, y.fingerprint)) AS BIGINT) AS distance FROM b x JOIN b y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id WHERE bit_count(xor(x.fingerprint, y.fingerprint)) <= 12")
 def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = similarity.simhash(_docs(spark, sf_dir).where("doc_id < 400"))
+    f = similarity.simhash(_docs(spark, sf_dir))
     b = similarity.bands(f).join(f, "doc_id")
     x, y = (b.select("band", "value", F.col("doc_id").alias(n), F.col("fingerprint").alias(f"f{n}")) for n in ("a", "b"))
     pairs = x.join(y, ["band", "value"]).where("a < b").select("a", "b", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).cast("long").alias("distance"))
     return pairs.where("distance <= 12").distinct()
 
 
-@query("minhash", f"WITH {_shingles(3, '(SELECT * FROM documents WHERE doc_id < 400)')}, h AS (SELECT doc_id, {_H} % 2147483647 AS h FROM s3) SELECT doc_id, [" + ", ".join(f"min(({2 * i + 1} * h + {7919 * (i + 1)}) % 2147483647)" for i in range(16)) + "] AS signature FROM h GROUP BY doc_id")
+@query("minhash", f"WITH {_shingles(3, 'documents')}, h AS (SELECT doc_id, {_H} % 2147483647 AS h FROM s3) SELECT doc_id, [" + ", ".join(f"min(({2 * i + 1} * h + {7919 * (i + 1)}) % 2147483647)" for i in range(16)) + "] AS signature FROM h GROUP BY doc_id")
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.minhash(_docs(spark, sf_dir).where("doc_id < 400"))
+    return similarity.minhash(_docs(spark, sf_dir))
 
 
-_JACCARD = f"{_shingles(3)}, d AS (SELECT shingle FROM s3 GROUP BY shingle HAVING count(*) BETWEEN 2 AND 60), z AS (SELECT doc_id, count(*) AS size FROM s3 GROUP BY doc_id), l AS (SELECT s3.doc_id, shingle, size FROM s3 JOIN d USING (shingle) JOIN z USING (doc_id)), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common, count(*) / (x.size + y.size - count(*)) AS jaccard FROM l x JOIN l y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.size, y.size HAVING count(*) / (x.size + y.size - count(*)) >= 0.82)"
+_JACCARD = f"{_shingles(3)}, h AS (SELECT doc_id, list_sort(list(shingle)) AS g FROM s3 GROUP BY doc_id), p AS (SELECT min(doc_id) AS id, g, len(g) AS size FROM h GROUP BY g), x AS (SELECT id, size, unnest(g) AS shingle FROM p), n AS (SELECT a.id AS a, b.id AS b, count(*) AS common, count(*) / (a.size + b.size - count(*)) AS jaccard FROM x a JOIN x b ON a.shingle = b.shingle AND a.id < b.id GROUP BY a.id, b.id, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.82), c AS (SELECT p.id AS a, h.doc_id AS b, size AS common, 1.0::DOUBLE AS jaccard FROM h JOIN p USING (g) WHERE h.doc_id <> p.id)"
 
 
-@query("minhash_confirmed_pairs", f"WITH {_JACCARD} SELECT a, b, common, round(jaccard, 6) AS jaccard FROM p")
+@query("minhash_confirmed_pairs", f"WITH {_JACCARD} SELECT a, b, CAST(common AS BIGINT) AS common, round(jaccard, 6) AS jaccard FROM (SELECT * FROM n UNION ALL SELECT * FROM c)")
 def confirmed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_pairs(_docs(spark, sf_dir), 0.82).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("duplicate_clusters", f"WITH RECURSIVE {_JACCARD}, e AS (SELECT a, b FROM n UNION SELECT a, b FROM c), adj AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM adj UNION SELECT adj.b, r.root FROM r JOIN adj ON adj.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
+def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.components(similarity.jaccard_pairs(_docs(spark, sf_dir), 0.82))
+
+
+@query("cluster_canonical", f"WITH RECURSIVE {_JACCARD}, e AS (SELECT a, b FROM n UNION SELECT a, b FROM c), adj AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM adj UNION SELECT adj.b, r.root FROM r JOIN adj ON adj.a = r.node), k AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT component, doc_id AS canonical FROM (SELECT component, doc_id, row_number() OVER (PARTITION BY component ORDER BY length(text) DESC, doc_id) AS r FROM k JOIN documents ON node = doc_id) WHERE r = 1")
+def cluster_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return similarity.canonical_of(graphs.components(similarity.jaccard_pairs(docs, 0.82)), docs)
+
+
 DELTA = [(1, 2, "retry after 5 s, 3 times", "retry after 30 s, 3 times"), (3, 4, "same 1 text", "other 1 text"), (5, 6, "v 1 2 3 4 5 6 7", "v 2 3 4 5 6 7 8"), (7, 8, "equal 4", "equal 4")]
 
 

@@ -36,11 +36,11 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_offsets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("text_blocks", """WITH d AS (SELECT doc_id, regexp_replace(text, '[.] ', '.' || chr(10) || chr(10), 'g') AS text FROM documents WHERE doc_id % 10 = 0), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+@query("text_blocks", """WITH d AS (SELECT doc_id, regexp_replace(text, '[.] ', '.' || chr(10) || chr(10), 'g') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
 f AS (SELECT *, trim(line) = '' AS blank, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM l)
 SELECT doc_id, CAST(island AS BIGINT) AS block, CAST(min(n) AS BIGINT) AS first_line, CAST(max(n) AS BIGINT) AS last_line, CAST(sum(length(line)) AS BIGINT) AS chars FROM f WHERE NOT blank GROUP BY doc_id, island""")
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.regexp_replace("text", "[.] ", ".\n\n").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[.] ", ".\n\n").alias("text"))
     return lines.blocks(docs)
 
 
@@ -154,12 +154,18 @@ def prose_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark).select("id", T.prose_fragment(line).alias("fragment"), T.trim_dangling(line).alias("trimmed"), T.without_opener(line).alias("body"))
 
 
-@query("sentences", """WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS n FROM documents)
+@query("sentences", f"""WITH s AS (SELECT doc_id, unnest({T.sentence_sql()}) AS sentence, generate_subscripts({T.sentence_sql()}, 1) AS n FROM documents)
 SELECT doc_id, CAST(n AS BIGINT) AS n, trim(sentence) AS sentence FROM s WHERE trim(sentence) <> ''""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.simple_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("sentence_offsets", f"""WITH s AS (SELECT doc_id, {T.sentence_sql()} AS a FROM documents), p AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS n, [length(v) FOR v IN a] AS w FROM s), o AS (SELECT doc_id, n, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS sentence, coalesce(list_sum(w[1:n - 1]), 0) + length(x) - length(regexp_replace(x, '^\\s+', '')) AS start FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(start AS BIGINT) AS start, CAST(start + length(sentence) AS BIGINT) AS stop, sentence FROM o WHERE sentence <> ''""")
+def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.sentence_offsets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("fences", """WITH l AS (SELECT * FROM (VALUES (1, 'intro'), (2, '```python'), (3, 'x = 1'), (4, '```'), (5, 'middle'), (6, '~~~'), (7, 'raw'), (8, '~~~'), (9, 'end')) t(n, line)), f AS (SELECT *, regexp_matches(line, '^[ \\t]*(~~~|```)') AS mark FROM l),
 g AS (SELECT *, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (ORDER BY n) AS opened FROM f)
 SELECT CAST(n AS BIGINT) AS n, CASE WHEN mark THEN 'markdown' WHEN opened % 2 = 1 THEN coalesce(nullif(last_value(CASE WHEN mark THEN regexp_extract(line, '^[ ]*(~~~|```)([a-z]*)', 2) END IGNORE NULLS) OVER (ORDER BY n), ''), 'code') ELSE 'open' END AS label FROM g""")
