@@ -1,22 +1,20 @@
 """The compressor: documents in, compressed documents with their audit out.
 
-All steps but selection are declarative; selection is a kernel on one request's
-units.  Every join is on the request's key, so one partitioning serves them all.
+Compression is one pass of a kernel over rows; units, salience, audits and
+residuals are relational.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .. import lexicon
-from ..config import MODES, Config
+from .. import lexicon, shared
+from ..config import Config
 from ..functions import text as T
-from ..operators import facts, lines, selection
-
-
-#: Sentences with critical facts may use this share of the source beyond the budget, as facts come before size.
-CRITICAL_SHARE = 0.45
+from ..operators import facts, lines
+from . import kernel
 
 
 def units_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -41,33 +39,22 @@ def salience(units: DataFrame, key: str = "doc_id") -> DataFrame:
     return scored.withColumn("salience", F.when(high == low, 0.0).otherwise((F.col("z") - low) / (high - low)))
 
 
-def compress(docs: DataFrame, config: Config | None = None, key: str = "doc_id") -> DataFrame:
+def compress(docs: DataFrame, config: Config | None = None, key: str = "doc_id", query: str | None = None) -> DataFrame:
     """(key, text, tokens_in, tokens_out, kept_units, units, fallback): each request's text under its budget; the source itself where the output would be no smaller.
 
-    A null or blank text gives an empty output with no units.
+    One pass without a shuffle: a request is one row, of any key type.  With a query, sentences that share its
+    terms, and the terms themselves, weigh more.  A null or blank text gives an empty output with no units.
     """
-    config = config or Config()
-    units = units_of(docs.select(key, "text"), key)
-    scored = salience(units, key)
-    total = F.sum("tokens").over(Window.partitionBy(key))
-    target, stop = MODES[config.mode]
-    budget = F.greatest(F.lit(16), F.lit(config.budget) if config.budget is not None else F.floor(total * (1 - target))).cast("long")
-    given = scored.select(key, "n", "tokens", budget.alias("budget"), F.greatest(budget, F.floor(total * CRITICAL_SHARE)).cast("long").alias("critical_budget"), F.col("critical").alias("locked"), "salience", "terms")
-    chosen = selection.select_units(given, config.saturation, stop, key)
-    kept = units.join(chosen, [key, "n"], "left_semi")
-    rendered = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("out"), F.count(F.lit(1)).alias("kept_units"))
-    counts = units.groupBy(key).agg(F.count(F.lit(1)).alias("units"))
-    source = docs.select(key, F.coalesce("text", F.lit("")).alias("source"))
-    joined = source.join(counts, key, "left").join(rendered, key, "left").withColumn("tokens_in", T.token_count(F.col("source"))).withColumn("raw_out", T.token_count(F.coalesce("out", F.lit(""))))
-    fallback = F.col("raw_out") >= F.col("tokens_in")
-    return joined.select(key, F.when(fallback, F.col("source")).otherwise(F.coalesce("out", F.lit(""))).alias("text"), "tokens_in", F.when(fallback, F.col("tokens_in")).otherwise(F.col("raw_out")).alias("tokens_out"), F.coalesce("kept_units", F.lit(0)).alias("kept_units"), F.coalesce("units", F.lit(0)).alias("units"), fallback.alias("fallback"))
+    kinds = [docs.schema[key], *StructType.fromDDL("text string, tokens_in long, tokens_out long, kept_units long, units long, fallback boolean")]
+    return shared.spread(docs.select(key, "text")).mapInArrow(kernel.compress(config or Config(), query), StructType(kinds))
 
 
 def residuals(docs: DataFrame, compressed: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, handle, text): the sentences that an output lacks, recoverable by handle."""
     words = lambda df: lines.simple_sentences(df.select(key, "text"), key)
-    out = compressed.select(key, F.col("text").alias("whole"))
-    gone = words(docs).join(out, key).where(~F.contains("whole", "sentence"))
+    kept = words(compressed).select(key, "sentence").groupBy(key, "sentence").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy(key, "sentence").orderBy("n"))
+    gone = words(docs).withColumn("r", place).join(kept, [key, "sentence"], "left").where(F.col("r") > F.coalesce("held", F.lit(0)))
     return gone.select(key, F.concat(F.col(key).cast("string"), F.lit(":"), F.col("n").cast("string")).alias("handle"), F.col("sentence").alias("text"))
 
 

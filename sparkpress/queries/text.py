@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import lexicon
+from .. import lexicon, shared
 from ..functions import text as T
 from ..operators import lines
 from .registry import fixture, query, table, values
@@ -56,7 +56,7 @@ _COST = f"""CASE WHEN length({_CORE}) = 0 THEN {_NL} + CASE WHEN length(p) - {_N
 @query("token_count", f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PIECES}')) AS p FROM documents)
 SELECT d.doc_id, CAST(coalesce(c, 0) AS BIGINT) AS tokens FROM documents d LEFT JOIN (SELECT doc_id, sum({_COST}) AS c FROM p GROUP BY doc_id) USING (doc_id)""")
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+    return shared.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
 @query("truncate_to_budget", f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PIECES}')) AS p, generate_subscripts(regexp_extract_all(text, '{_PIECES}'), 1) AS n FROM documents), c AS (SELECT *, sum({_COST}) OVER (PARTITION BY doc_id ORDER BY n) AS used FROM p)
