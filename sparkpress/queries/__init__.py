@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, conversation, detect, facts, graphs, kernels, pipeline, similarity, text
+from . import aggregates, conversation, detect, facts, graphs, kernels, ladders, pipeline, similarity, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "conversation", "detect", "facts", "graphs", "kernels", "pipeline", "similarity", "text"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "conversation", "detect", "facts", "graphs", "kernels", "ladders", "pipeline", "similarity", "text"]
