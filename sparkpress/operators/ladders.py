@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,8 +95,9 @@ def live_canonicals(chosen: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 def personalisation(units: DataFrame, query_weight: float = 1.6, recency_weight: float = 0.25) -> DataFrame:
     """(uid, p) of (uid, role, protection, hit, place 0..1): where a walk restarts; sums to 1."""
+    # the multiples are those of the written number: in binary 3 * 1.6 is not 4.8, which moved shares that end in a half
     edge = F.abs(2 * F.col("place") - 1)
-    raw = 0.05 + F.when(F.col("role") == "query", 2 * query_weight).otherwise(0.0) + F.when(F.col("protection") >= 2, 0.8).when(F.col("protection") == 1, 0.3).otherwise(0.0) + 3 * query_weight * F.col("hit") + 0.25 * edge + recency_weight * F.col("place")
+    raw = 0.05 + F.when(F.col("role") == "query", float(2 * Decimal(str(query_weight)))).otherwise(0.0) + F.when(F.col("protection") >= 2, 0.8).when(F.col("protection") == 1, 0.3).otherwise(0.0) + float(3 * Decimal(str(query_weight))) * F.col("hit") + 0.25 * edge + recency_weight * F.col("place")
     return units.select("request", "uid", raw.alias("p")).withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("request")))
 
 

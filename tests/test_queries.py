@@ -37,6 +37,15 @@ def test_oracle(spark, duck, sf, name):
     assert rows(QUERIES[name](spark, sf).toArrow()) == rows(duck.sql(ORACLES[name]).to_arrow_table())
 
 
+def test_personalisation_rounds_halves_as_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect(config={"threads": 1})  # sums in the file's order
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/lineitem.parquet')")
+    assert sorted(map(tuple, QUERIES["personalisation"](spark, folder).collect())) == sorted(con.sql(ORACLES["personalisation"]).fetchall())
+
+
 def test_entry_imports_without_corpus_operators(monkeypatch):
     import importlib
     import sys
