@@ -19,20 +19,25 @@ the join runs over points.
    ``LEAF``, a leaf keeps its coordinate maxima and sizes, and leaf pairs, then
    point pairs, survive only if the sum of coordinate minima, which bounds the
    overlap from above, reaches ``threshold / (1 + threshold) * (size a + size b)``.
-4. **Verification.**  Surviving pairs are brought together by connected
-   component, with each text moved once, and their grams are counted exactly.
-
-Result: (doc_a, doc_b, jaccard), doc_a < doc_b, jaccard rounded to 6 places.  A
-point with several ids is represented by its least id; its other ids are listed
-as (least id, id, 1.0), and pairs of points are listed between least ids, so the
-result is linear in exact copies and every other pair follows from it.  With
-``expand`` all pairs of ids are listed, quadratic in exact copies.
-
-Defined cases: null ids, and null, empty or word-less texts, have no pairs; a
-text shorter than n words has one gram, all its words; a very long text is a point
-like any other; grams of one rank are ordered by hash; repeated rows of one id
-are one; two texts under one id form no pair with each other; an empty table
-gives no rows; other columns are ignored.
+4. **Verification.**  Slabs with one least member, their *lead*, meet in one
+   task; a pair that several leads find goes with the least.  Pairs are verified
+   by lead, so no task depends on how far candidates chain, and their grams are
+   counted exactly.
+
+``classes`` gives one row for each row of the table: (doc_id, class_id, links).
+links is the number of other rows whose text reaches the threshold, copies and
+rows of the same or no id among them; class_id is the least id of the rows that
+links connect.  A row without words has no links and its own id as class.
+
+``jaccard_pairs`` gives (doc_a, doc_b, jaccard), doc_a < doc_b, jaccard rounded
+to 6 places.  A point with several ids is represented by its least id; its other
+ids are listed as (least id, id, 1.0), and pairs of points are listed between
+least ids.  With ``expand`` all pairs of ids are listed, quadratic in exact copies.
+
+Defined cases: rows with a null id or text and texts without words form no
+pair (but see ``classes`` for null ids); a text of one or two words has one gram,
+of all its words; copies of a row are one; two texts under one id form no pair
+with each other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ from . import textkernel as K
 
 N, THRESHOLD = 3, 0.5
 #: (largest size, groups): the spaces of the points; one byte a coordinate, 255 for that or more.
-GROUPS = ((256, 64), (1024, 256), (4096, 1024), (1 << 62, 4096))
+GROUPS = ((256, 128), (1024, 512), (4096, 2048), (1 << 62, 8192))
 LEAF = 32
 #: Cells of the two corpus summaries, and the share of texts (of words) from which a cell is listed in them.
 GRAM_CELLS, WORD_CELLS = 1 << 22, 1 << 20
@@ -176,13 +181,9 @@ def _place(n: int, threshold: float, buckets: int, summaries):
                 size, sig = np.diff(off), _signature(key, off)
                 owner = np.repeat(np.arange(b - a), size)
                 counts = _coordinates(key, owner, size)
-                some = np.flatnonzero(size)
-                if not len(some):
-                    continue
-                rows = len(some)
-                null = pa.nulls(rows, pa.binary())
+                null = pa.nulls(b - a, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((sig[some] % np.uint64(buckets)).astype(np.int32)), null, null, ids.slice(a, b - a).take(pa.array(some)), hashes.slice(a, b - a).take(pa.array(some)), pa.array(sig[some].view(np.int64)), pa.array(size[some].astype(np.int32)), pa.array([counts[i] for i in some], pa.binary())],
+                    [pa.array((sig % np.uint64(buckets)).astype(np.int32)), null, null, ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(sig.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(counts, pa.binary())],
                     ["bucket", "keys", "sigs", "doc_id", "text_hash", "sig", "size", "counts"],
                 )
                 fresh = np.array([s not in seen and not seen.add(s) for s in sig.tolist()], bool)
@@ -320,11 +321,33 @@ def rtree_pairs(points: Points, members: np.ndarray, threshold: float = THRESHOL
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
 
 
+def _runs(lead: np.ndarray, slab: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, lead of each, first, length) of runs that hold all pairs of the slabs: all points of a lead where these are fewer pairs than those of its slabs, which in a group of near copies repeat each other, else each slab."""
+    order = np.lexsort((slab, lead))
+    lead, slab, node = lead[order], slab[order], node[order]
+    at = np.flatnonzero(np.concatenate([[True], (slab[1:] != slab[:-1]) | (lead[1:] != lead[:-1])]))
+    length = np.diff(at, append=len(slab))
+    leads, of = np.unique(lead, return_inverse=True)
+    pairs = np.bincount(of[at], length * (length - 1.0) / 2, len(leads))
+    order = np.lexsort((node, of))
+    whole_of, whole = of[order], node[order]
+    keep = np.concatenate([[True], (whole[1:] != whole[:-1]) | (whole_of[1:] != whole_of[:-1])])
+    whole_of, whole = whole_of[keep], whole[keep]
+    count = np.bincount(whole_of, minlength=len(leads))
+    joined = count * (count - 1.0) / 2 <= pairs
+    whole_of, whole = whole_of[joined[whole_of]], whole[joined[whole_of]]
+    apart = ~joined[of]
+    key = np.concatenate([whole_of, np.repeat(np.arange(len(at)), length)[apart] + len(leads)])
+    node, lead = np.concatenate([whole, node[apart]]), np.concatenate([leads[whole_of], lead[apart]])
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return node, lead, at, np.diff(at, append=len(key))
+
+
 def _candidates(threshold: float):
-    """Memberships (lead, slab, sig) and points (lead, sig, size, counts) of whole slabs to point pairs."""
+    """Memberships (lead, slab, sig) and points (lead, sig, size, counts) of whole leads to point pairs (lead, a, b), each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("slab", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("counts", pa.binary())]))
+        table = pa.Table.from_batches(list(batches), pa.schema([("lead", pa.int64()), ("slab", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("counts", pa.binary())]))
         known = table.filter(pa.compute.is_valid(table["size"]))
         table = table.filter(pa.compute.is_valid(table["slab"]))
         if not table.num_rows:
@@ -333,21 +356,26 @@ def _candidates(threshold: float):
         names, where = np.unique(known["sig"].to_numpy(), return_index=True)
         known = known.take(pa.array(where))
         points = Points(known["size"].to_numpy().astype(np.int64), known["counts"].to_pylist())
-        slab, sig = table["slab"].to_numpy(), table["sig"].to_numpy()
+        node, lead, at, length = _runs(table["lead"].to_numpy(), table["slab"].to_numpy(), np.searchsorted(names, table["sig"].to_numpy()))
         del table, known
-        order = np.argsort(slab, kind="stable")
-        slab, node = slab[order], np.searchsorted(names, sig[order])
-        at = np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1]]))
-        length = np.diff(at, append=len(slab))
-        found, held = [np.zeros(0, np.int64)], 0
-
-        def add(x: np.ndarray, y: np.ndarray) -> None:
-            nonlocal found, held
+        leads, lead = np.unique(lead, return_inverse=True)
+        found, of, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def once() -> None:
+            nonlocal found, of, held
+            pair, by = np.concatenate(found), np.concatenate(of)
+            order = np.lexsort((by, pair))
+            pair, by = pair[order], by[order]
+            keep = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
+            found, of, held = [pair[keep]], [by[keep]], 0
+
+        def add(x: np.ndarray, y: np.ndarray, by: np.ndarray) -> None:
+            nonlocal held
             found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+            of.append(by)
             held += len(x)
-            if held > 1_000_000:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
+            if held > 1_000_000 + len(found[0]):
+                once()
 
         for k in np.unique(length):
             runs = at[length == k]
@@ -355,107 +383,175 @@ def _candidates(threshold: float):
                 step = max(1, 200_000 // int(k * k))
                 for s in range(0, len(runs), step):
                     x, y = _pairs_of(runs[s : s + step], int(k))
+                    by = lead[x]
                     x, y = node[x], node[y]
-                    pair = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y))
-                    add(*points.bounded(pair // len(names), pair % len(names), threshold))
+                    pair = np.minimum(x, y) * len(names) + np.maximum(x, y)
+                    order = np.lexsort((by, pair))
+                    pair, by = pair[order], by[order]
+                    keep = np.concatenate([[True], pair[1:] != pair[:-1]])
+                    pair, by = pair[keep], by[keep]
+                    x, y = points.bounded(pair // len(names), pair % len(names), threshold)
+                    add(x, y, by[np.searchsorted(pair, x * len(names) + y)])
             elif k > LEAF:
                 for r in runs:
-                    add(*rtree_pairs(points, node[r : r + k], threshold))
-        pair = np.unique(np.concatenate(found))
-        del found, points, order
+                    x, y = rtree_pairs(points, node[r : r + k], threshold)
+                    add(x, y, np.full(len(x), lead[r]))
+        once()
+        pair, by = found[0], leads[of[0]]
+        del found, of, points
         K.release()
         for s in range(0, len(pair), 500_000):
             part = pair[s : s + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(names[part // len(names)]), pa.array(names[part % len(names)])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(by[s : s + 500_000]), pa.array(names[part // len(names)]), pa.array(names[part % len(names)])], ["lead", "a", "b"])
 
     return run
 
 
-def _verify(n: int, threshold: float):
-    """Cogroup of (bucket, sig, doc_id, text) and (bucket, a, b): exact Jaccard similarity of the pairs."""
+def _overlaps(key: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common keys of sets x[i] and y[i]; x ascending, keys numbered from 0."""
+    size = np.diff(off)
+    mark = np.zeros(int(key.max()) + 1 if len(key) else 1, bool)
+    out = np.zeros(len(x), np.int64)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    for i, j in zip(at, np.append(at[1:], len(x))):
+        own = key[off[x[i]] : off[x[i] + 1]]
+        mark[own] = True
+        for s in range(i, j, 1000):
+            part = y[s : min(s + 1000, j)]
+            first = np.cumsum(size[part]) - size[part]
+            place = np.repeat(off[part] - first, size[part]) + np.arange(int(size[part].sum()))
+            out[s : s + len(part)] = np.add.reduceat(mark[key[place]], first, dtype=np.int64)
+        mark[own] = False
+    return out
+
+
+def _verify(n: int, threshold: float, listed: bool):
+    """Cogroup of (bucket, sig, rows, text) and (a, b, task): the exact pairs (a, b, jaccard) if listed, else (sig, root, links): for each point, one that its links of this bucket lead to, and the rows at their other ends."""
 
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())] if listed else [("sig", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
         if not texts.num_rows or not pairs.num_rows:
             return schema.empty_table()
-        column = texts["text"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        sets: list[np.ndarray] = []
-        for a, b, data, offsets in K.blocks(column):
-            hashed, doc, _, _ = K.words(data, offsets)
-            gram, off = K.grams(hashed, doc, b - a, n)
-            sets += [gram[off[i] : off[i + 1]] for i in range(b - a)]
-        sig, ids = texts["sig"].to_numpy(), texts["doc_id"].to_numpy()
-        order = np.argsort(sig)
-        x, y = (order[np.searchsorted(sig[order], pairs[c].to_numpy())] for c in ("a", "b"))
-        size = np.array([len(s) for s in sets])
-        # pairs come sorted by their first point, whose set is marked once
+        texts = texts.take(pa.array(np.argsort(texts["sig"].to_numpy())))
+        sig, rows = texts["sig"].to_numpy(), texts["rows"].to_numpy()
+        keys, sizes = [], []
+        for chunk in texts["text"].chunks:
+            for a, b, data, offsets in K.blocks(chunk):
+                hashed, doc, _, _ = K.words(data, offsets)
+                gram, off = K.grams(hashed, doc, b - a, n)
+                keys.append(gram)
+                sizes.append(np.diff(off))
+        del texts
+        size, key = np.concatenate(sizes), np.concatenate(keys)
+        del keys
+        # grams as numbers; the order of a set's own keys doesn't matter
+        order = np.argsort(key)
+        key = key[order]
+        number = np.empty(len(key), np.int32)
+        number[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
+        del key, order
+        x, y = (np.searchsorted(sig, pairs[c].to_numpy()) for c in ("a", "b"))
         by = np.argsort(x, kind="stable")
         x, y = x[by], y[by]
-        overlap = np.zeros(len(x), np.int64)
-        for i in range(len(x)):
-            s, t = sets[x[i]], sets[y[i]]
-            at = np.searchsorted(s, t)
-            at[at == len(s)] = 0
-            overlap[i] = np.count_nonzero(s[at] == t)
-        jaccard = overlap / (size[x] + size[y] - overlap)
-        keep = (overlap >= required(size[x], size[y], threshold)) & (ids[x] != ids[y])
-        x, y = x[keep], y[keep]
-        del sets, overlap
+        overlap = _overlaps(number, np.concatenate([[0], np.cumsum(size)]), x, y)
+        del number
         K.release()
-        return pa.Table.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(np.round(jaccard[keep], 6))], schema=schema)
+        keep = overlap >= required(size[x], size[y], threshold)
+        x, y, overlap = x[keep], y[keep], overlap[keep]
+        if listed:
+            return pa.Table.from_arrays([pa.array(sig[x]), pa.array(sig[y]), pa.array(overlap / (size[x] + size[y] - overlap))], schema=schema)
+        links, root = np.zeros(len(sig), np.int64), np.arange(len(sig))
+        np.add.at(links, x, rows[y])
+        np.add.at(links, y, rows[x])
+        while True:
+            least = root.copy()
+            np.minimum.at(least, x, root[y])
+            np.minimum.at(least, y, root[x])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        some = np.flatnonzero(links)
+        return pa.Table.from_arrays([pa.array(sig[some]), pa.array(sig[root[some]]), pa.array(links[some])], schema=schema)
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, expand: bool = False) -> DataFrame:
-    """(doc_a, doc_b, jaccard); see the module's text."""
-    spark = docs.sparkSession
-    texts = _texts(docs)
+def _linked(texts: DataFrame, n: int, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of texts with their point, points (sig, id, rows, ...), what _verify finds between points)."""
+    spark = texts.sparkSession
     cells, words = _summaries(texts, n)
     summaries = spark.sparkContext.broadcast((cells, words))  # fixed sizes: WORD_CELLS floats, at most n-grams a text / GRAM_SHARE cells
     buckets = storage.partitions(spark)
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     moved = hashed.mapInArrow(_place(n, threshold, buckets, summaries), _MOVED).repartition(buckets, "bucket")
     kept = storage.written(moved.mapInArrow(_slabs, _KEPT), "slabs")
-    points = kept.where("sig IS NOT NULL")
-    least = points.groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("counts").alias("counts"))
+    rows = kept.where("sig IS NOT NULL").select("doc_id", "text_hash", "sig", "size", "counts")
+    points = rows.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("counts").alias("counts"))
     # slabs of one group of near copies mostly share their least member; by it they meet in one task, which finds a pair once
     slabs = kept.where("slab IS NOT NULL").dropDuplicates(["slab"]).select("slab", F.array_min("sigs").alias("lead"), F.explode("sigs").alias("sig"))
-    points_of = slabs.select("lead", "sig").distinct().join(least.select("sig", "size", "counts"), "sig").select("lead", F.lit(None).cast("long").alias("slab"), "sig", "size", "counts")
+    points_of = slabs.select("lead", "sig").distinct().join(points.select("sig", "size", "counts"), "sig").select("lead", F.lit(None).cast("long").alias("slab"), "sig", "size", "counts")
     members = slabs.select("lead", "slab", "sig", F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("counts")).unionByName(points_of)
-    candidates = members.repartition(buckets, "lead").drop("lead").mapInArrow(_candidates(threshold), "a long, b long").distinct()
-    candidates = storage.written(candidates, "candidates")
-    component = graph.components(candidates)
-    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int").alias("bucket")
-    wanted = component.join(least.select(F.col("sig").alias("node"), "least.doc_id", "least.text_hash"), "node").select(F.col("node").alias("sig"), "doc_id", "text_hash", bucket)
-    sides = hashed.join(wanted, ["doc_id", "text_hash"]).select("bucket", "sig", "doc_id", "text").dropDuplicates(["sig"])
-    keyed = candidates.join(component, F.col("a") == F.col("node")).select(bucket, "a", "b")
-    near = sides.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(_verify(n, threshold), "doc_a long, doc_b long, jaccard double").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-    copies = points.join(least.select("sig", F.col("least.doc_id").alias("doc_a")), "sig").where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    found = members.repartition(buckets, "lead").mapInArrow(_candidates(threshold), "lead long, a long, b long")
+    bucket = F.pmod(F.xxhash64(F.min("lead")), F.lit(buckets)).cast("int").alias("bucket")
+    candidates = storage.written(found.groupBy("a", "b").agg(bucket), "candidates")
+    wanted = candidates.select("bucket", F.explode(F.array("a", "b")).alias("sig")).distinct().join(points.select("sig", "rows", F.col("least.doc_id").alias("of_id"), F.col("least.text_hash").alias("of_text")), "sig")
+    sides = hashed.join(wanted, (hashed["text_hash"] == wanted["of_text"]) & hashed["doc_id"].eqNullSafe(wanted["of_id"])).select("bucket", "sig", "rows", "text").dropDuplicates(["bucket", "sig"])
+    verified = sides.groupBy("bucket").cogroup(candidates.withColumnRenamed("bucket", "task").groupBy("task")).applyInArrow(_verify(n, threshold, listed), "a long, b long, jaccard double" if listed else "sig long, root long, links long")
+    return rows, points, verified
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of every row; see the module's text."""
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
+    rows, points, verified = _linked(texts, n, threshold, False)
+    found = storage.written(verified, "links")
+    component = graph.components(found, "sig", "root").withColumnRenamed("node", "sig")
+    links = found.groupBy("sig").agg(F.sum("links").alias("links"))
+    known = points.select("sig", "id", "rows").join(component, "sig", "left").join(links, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = known.groupBy("component").agg(F.min("id").alias("class_id"))
+    known = known.join(named, "component").select("sig", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    alone = lambda rows: rows.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return rows.where("size > 0").select("doc_id", "sig").join(known, "sig").select("doc_id", "class_id", "links").unionByName(alone(rows.where("size = 0"))).unionByName(alone(docs.where("text IS NULL")))
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, expand: bool = False) -> DataFrame:
+    """(doc_a, doc_b, jaccard); see the module's text."""
+    rows, points, verified = _linked(_texts(docs), n, threshold, True)
+    near = verified.withColumn("jaccard", F.round("jaccard", 6))
+    ids = rows.where("size > 0").select("sig", "doc_id").distinct() if expand else points.select("sig", F.col("id").alias("doc_id"))
+    side = lambda name: ids.select(F.col("sig").alias(name), F.col("doc_id").alias(f"id_{name}"))
+    near = near.join(side("a"), "a").join(side("b"), "b").where("id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "jaccard")
     if expand:
-        ids = points.join(least.select("sig", F.col("least.doc_id").alias("point")), "sig").select("sig", "point", "doc_id").distinct()
-        ids = storage.written(ids, "ids")
-        side = lambda name: ids.select(F.col("point").alias(f"point_{name}"), F.col("doc_id").alias(f"id_{name}"), F.col("sig").alias(f"sig_{name}"))
-        near = near.withColumnsRenamed({"doc_a": "point_a", "doc_b": "point_b"}).join(side("a"), "point_a").join(side("b"), "point_b")
-        near = near.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "jaccard").where("doc_a <> doc_b")
-        copies = side("a").join(side("b"), F.col("sig_a") == F.col("sig_b")).where("id_a < id_b").select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+        copies = side("a").join(side("b"), F.col("a") == F.col("b")).where("id_a < id_b").select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    else:
+        copies = _copies(rows, points).withColumn("jaccard", F.lit(1.0))
     return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _copies(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(doc_a, doc_b): least id and other ids of each point."""
+    return rows.join(points.select("sig", F.col("id").alias("doc_a")), "sig").where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b")).distinct()
+
+
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Documents without all but the least id of each connected group of near copies; all other rows stay as they are."""
-    pairs = storage.written(jaccard_pairs(docs, n, threshold), "pairs")
-    gone = graph.components(pairs, "doc_a", "doc_b").where("node <> component").select(F.col("node").alias("doc_id"))
+    rows, points, verified = _linked(_texts(docs), n, threshold, False)
+    ids = points.select("sig", "id")
+    near = verified.select("sig", "root").distinct().join(ids.withColumnRenamed("id", "doc_a"), "sig").join(ids.withColumnsRenamed({"sig": "root", "id": "doc_b"}), "root").select("doc_a", "doc_b")
+    gone = graph.components(near.unionByName(_copies(rows, points)), "doc_a", "doc_b").where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")
 
 
 def oracle_sql(n: int = N, threshold: float = THRESHOLD) -> str:
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
-    return f"""WITH words AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([{gram} FOR i IN range(1, len(w) - {n - 2})])) END AS g FROM words WHERE len(w) > 0),
-points AS (SELECT min(doc_id) AS id, g, len(g) AS size FROM sets GROUP BY g),
-grams AS (SELECT id, size, unnest(g) AS gram FROM points),
-near AS (SELECT a.id AS doc_a, b.id AS doc_b, round(count(*) / (a.size + b.size - count(*)), 6) AS jaccard FROM grams a JOIN grams b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id, a.size, b.size HAVING count(*) >= ceil({threshold} / (1 + {threshold}) * (a.size + b.size) - 1e-9)),
-copies AS (SELECT DISTINCT p.id AS doc_a, s.doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM sets s JOIN points p USING (g) WHERE s.doc_id <> p.id)
-SELECT doc_a, doc_b, max(jaccard) AS jaccard FROM (SELECT * FROM near UNION ALL SELECT * FROM copies) GROUP BY doc_a, doc_b"""
+points AS (SELECT row_number() OVER () AS p, id, g, size, n FROM (SELECT min(doc_id) AS id, g, len(g) AS size, count(*) AS n FROM sets GROUP BY g)),
+grams AS (SELECT p, size, n, unnest(g) AS gram FROM points),
+near AS MATERIALIZED (SELECT a.p AS a, b.p AS b, b.n FROM grams a JOIN grams b ON a.gram = b.gram AND a.p <> b.p GROUP BY a.p, b.p, a.size, b.size, b.n HAVING count(*) >= ceil({threshold} / (1 + {threshold}) * (a.size + b.size) - 1e-9)),
+reach AS (SELECT p AS a, p AS b FROM points UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+classes AS (SELECT reach.a AS p, min(points.id) AS class_id FROM reach JOIN points ON reach.b = points.p GROUP BY reach.a),
+links AS (SELECT a AS p, sum(n) AS n FROM near GROUP BY a)
+SELECT s.doc_id, c.class_id, CAST(p.n - 1 + coalesce(l.n, 0) AS BIGINT) AS links FROM sets s JOIN points p USING (g) JOIN classes c ON c.p = p.p LEFT JOIN links l ON l.p = p.p
+UNION ALL SELECT doc_id, doc_id, CAST(0 AS BIGINT) FROM words WHERE w IS NULL OR len(w) = 0"""

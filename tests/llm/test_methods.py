@@ -91,6 +91,30 @@ def test_expanded_join_lists_every_pair(spark, sf):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_links_of_texts_under_repeated_and_null_ids_are_kept(spark):
+    """Texts a, b and c of three points: a and b under one least id, whose link (2, 3) the pairs between least ids lost."""
+    import duckdb
+
+    a, b = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(18)) + " x y"
+    rows = [(1, a), (1, b), (2, a.upper()), (3, b + "!"), (None, a), (4, "alone here now"), (None, None), (5, "--"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.Counter(map(tuple, jaccard_join.classes(docs).collect()))
+    assert found == collections.Counter([(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (None, 1, 4), (4, 4, 0), (None, None, 0), (5, 5, 0), (6, 6, 0)])
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert collections.Counter(con.sql(jaccard_join.oracle_sql()).fetchall()) == found
+    assert (2, 3) in {(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_pairs(docs, expand=True).collect()}
+
+
+def test_classes_are_their_sql(spark, sf):
+    import duckdb
+
+    docs = read(spark, sf, "documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert sorted(map(tuple, jaccard_join.classes(docs).collect())) == sorted(con.sql(jaccard_join.oracle_sql()).fetchall())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 9), (20, 21)], "a long, b long")
     found = {r.node: r.component for r in graph.components(edges).collect()}
