@@ -43,6 +43,7 @@ with each other; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,6 +162,12 @@ def _coordinates(key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> list[b
     return out
 
 
+def _shrunk(counts: bytes) -> bytes:
+    """Coordinates, nearly all of them 0 to 3, in a few bits each; a point is sent to each of its leads."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, -9, 5, zlib.Z_HUFFMAN_ONLY)
+    return packer.compress(counts) + packer.flush()
+
+
 _MOVED = "bucket int, keys binary, sigs binary, doc_id long, text_hash long, sig long, size int, counts binary"
 _KEPT = "slab long, sigs array<long>, doc_id long, text_hash long, sig long, size int, counts binary"
 
@@ -180,7 +187,7 @@ def _place(n: int, threshold: float, buckets: int, summaries):
                 key, off = _keys(hashed, doc, b - a, n, common, words)
                 size, sig = np.diff(off), _signature(key, off)
                 owner = np.repeat(np.arange(b - a), size)
-                counts = _coordinates(key, owner, size)
+                counts = [_shrunk(c) for c in _coordinates(key, owner, size)]
                 null = pa.nulls(b - a, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((sig % np.uint64(buckets)).astype(np.int32)), null, null, ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(sig.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(counts, pa.binary())],
@@ -355,7 +362,7 @@ def _candidates(threshold: float):
         # a point comes once for each lead of this task
         names, where = np.unique(known["sig"].to_numpy(), return_index=True)
         known = known.take(pa.array(where))
-        points = Points(known["size"].to_numpy().astype(np.int64), known["counts"].to_pylist())
+        points = Points(known["size"].to_numpy().astype(np.int64), [zlib.decompress(c, -15) for c in known["counts"].to_pylist()])
         node, lead, at, length = _runs(table["lead"].to_numpy(), table["slab"].to_numpy(), np.searchsorted(names, table["sig"].to_numpy()))
         del table, known
         leads, lead = np.unique(lead, return_inverse=True)
