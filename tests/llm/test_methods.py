@@ -69,6 +69,14 @@ def test_rtree_bound_loses_no_pair(spark):
     assert len(found) < len(sets) ** 2 / 4
 
 
+def test_slabs_that_repeat_each_other_are_paired_once():
+    lead = np.array([7] * 90 + [9] * 4)
+    slab = np.concatenate([np.repeat(np.arange(30), 3), [100, 100, 101, 101]])
+    node = np.concatenate([np.tile([0, 1, 2], 30), [3, 4, 3, 5]])
+    node, of, at, length = jaccard_join._runs(lead, slab, node)
+    assert [(int(of[i]), node[i : i + k].tolist()) for i, k in zip(at, length)] == [(7, [0, 1, 2]), (9, [3, 4]), (9, [3, 5])]
+
+
 def test_jaccard_join_is_brute_force(spark, sf):
     docs = read(spark, sf, "documents")
     rows = docs.collect()
