@@ -6,8 +6,9 @@ greatest sum (ties: the longest last piece, as the library's own search does).
 Spaces are written as U+2581, one is put before a text that isn't empty, and
 characters without a piece become byte pieces.
 
-1. **Segments.**  A text is cut wherever no piece spans: between two bytes that
-   are neighbours in no piece.  This is exact, and leaves short segments, words
+1. **Segments.**  Pieces that no best path can hold, since other pieces that spell
+   the same have a greater sum, are left out.  A text is cut wherever no piece
+   spans: between two bytes that are neighbours in no piece.  This is exact, and leaves short segments, words
    with their leading space for the most part, that repeat all over the corpus.
    Texts are scanned as bytes; a segment is named by a 64-bit hash, and each
    distinct segment of a task is spelled out once.
@@ -41,8 +42,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset
 import pyarrow.fs
+import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,25 @@ NEVER = -1e8
 SPACE = "▁"
 
 
+class Spelling:
+    """The bytes of each piece, without the model."""
+
+    def __init__(self, spelled: list[bytes], byte_pieces: np.ndarray):
+        self.mark = byte_pieces[np.frombuffer(SPACE.encode(), np.uint8)]
+        self.size = np.array([len(s) for s in spelled], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.space = int(self.size.sum())
+        self.spelling = np.frombuffer(b"".join(spelled) + b" ", np.uint8)
+
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the pieces in a row, bytes of each); the byte pieces of U+2581 are a space."""
+        size, start = self.size[ids], self.start[ids]
+        spaces = np.flatnonzero((ids[:-2] == self.mark[0]) & (ids[1:-1] == self.mark[1]) & (ids[2:] == self.mark[2])) if len(ids) > 2 else np.zeros(0, np.int64)
+        start[spaces], size[spaces + 1], size[spaces + 2] = self.space, 0, 0
+        at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+        return self.spelling[at], size
+
+
 class Pieces:
     """The piece table of a model file."""
 
@@ -77,22 +97,41 @@ class Pieces:
                 self.table[piece.replace(SPACE, " ")] = (i, score)
         self.longest = max(map(len, self.table), default=1)
         self.unknown_score = min((s for _, s in self.table.values()), default=0.0) - 10.0
-        self.spans = np.zeros(65536, bool)
-        for piece in self.table:
-            raw = np.frombuffer(piece.encode(), np.uint8).astype(np.int64)
-            self.spans[raw[:-1] << 8 | raw[1:]] = True
-        follow = np.arange(65536) & 0xC0
-        self.spans[follow == 0x80] = True  # never inside a character
         spelled = [b""] * model.get_piece_size()
         for piece, (i, _) in self.table.items():
             spelled[i] = piece.encode()
         for byte, i in enumerate(self.bytes):
             if i != self.unknown:
                 spelled[i] = bytes([byte])
-        self.size = np.array([len(s) for s in spelled], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.space = int(self.size.sum())
-        self.spelling = np.frombuffer(b"".join(spelled) + b" ", np.uint8)
+        self.spelling = Spelling(spelled, self.bytes)
+
+    @functools.cached_property
+    def used(self) -> dict[str, tuple[int, float]]:
+        """The pieces that a best path can hold: all but those of which other pieces in a row have a greater sum, by more than rounding can hide."""
+        return {piece: x for piece, x in self.table.items() if self.apart(piece) <= x[1] + 1e-6 * (1 + abs(x[1]))}
+
+    def apart(self, text: str) -> float:
+        """The greatest sum of two or more pieces that spell the text."""
+        best = [0.0]
+        for end in range(1, len(text) + 1):
+            top = -np.inf
+            for begin in range(max(0, end - self.longest), end):
+                piece = self.table.get(text[begin:end])
+                if piece is not None and best[begin] + piece[1] > top and end - begin < len(text):
+                    top = best[begin] + piece[1]
+            best.append(top)
+        return best[-1]
+
+    @functools.cached_property
+    def spans(self) -> np.ndarray:
+        """Whether a used piece holds the two bytes side by side."""
+        spans = np.zeros(65536, bool)
+        for piece in self.used:
+            raw = np.frombuffer(piece.encode(), np.uint8).astype(np.int64)
+            spans[raw[:-1] << 8 | raw[1:]] = True
+        follow = np.arange(65536) & 0xC0
+        spans[follow == 0x80] = True  # never inside a character
+        return spans
 
     def fold(self, text: str) -> list[int]:
         """The best path through one segment, in time linear in its length."""
@@ -113,15 +152,6 @@ class Pieces:
             del back[begin + 1 :]
         return ids[::-1]
 
-    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of the pieces in a row, bytes of each); the byte pieces of U+2581 are a space."""
-        size, start = self.size[ids], self.start[ids]
-        mark = self.bytes[np.frombuffer(SPACE.encode(), np.uint8)]
-        spaces = np.flatnonzero((ids[:-2] == mark[0]) & (ids[1:-1] == mark[1]) & (ids[2:] == mark[2])) if len(ids) > 2 else np.zeros(0, np.int64)
-        start[spaces], size[spaces + 1], size[spaces + 2] = self.space, 0, 0
-        at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-        return self.spelling[at], size
-
 
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -149,8 +179,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def lattice(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     """(hash, ids array<int>) of distinct (hash, segment), by the relational lattice."""
     given = pieces(model)
-    table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in given.table.items()], "piece string, id int, score double")
-    longest = given.longest
+    table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in given.used.items()], "piece string, id int, score double")
+    longest = max(map(len, given.used), default=1)
     # placed by hash once: the explosions and the join keep that placement, so that the grouping moves no edges
     placed = words.repartition(storage.partitions(spark), "hash").where("segment <> ''")
     # a long segment goes in windows, so that the cost of spelling substrings is linear in its length
@@ -164,19 +194,22 @@ def lattice(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     edges = parts.join(F.broadcast(keyed), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left").where("id IS NOT NULL OR b = e - 1")
     # what an edge does: 65536 times its piece (an unknown character's is its code point, below zero), and its length
     does = F.coalesce("id", F.expr(f"CASE WHEN part = ' ' THEN -{ord(SPACE)} ELSE -ascii(part) END")).cast("long") * 65536 + (F.col("e") - F.col("b"))
-    # i: where the fold of the edge's block has the score of its begin
+    # i: where the fold has the best path to the edge's begin
     edge = F.struct("e", F.expr(f"b - greatest(0, CAST((e - 1) div {CHUNK} AS int) * {CHUNK} + {1 - longest})").alias("i"), F.coalesce("score", F.lit(given.unknown_score)).alias("s"), does.alias("v"))
-    blocks = edges.groupBy("hash", F.expr(f"CAST((e - 1) div {CHUNK} AS int)").alias("k")).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    grouped = blocks.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("k", "edges"))).alias("blocks"))
-    # aggregate copies what it carries at each step, so a block's fold carries the best scores (w) of the positions in reach and what was done (p) at those
-    # of the block; s, v: the best edge so far to position e.  Edges come by end, longest first, and only a better one replaces another
-    known = "coalesce(get(r.w, x.i), r.s) + x.s"
-    best = grouped.select("hash", F.expr(f"""aggregate(blocks, named_struct('w', CAST(array() AS array<double>), 's', 0D, 'v', 0L, 'p', CAST(array() AS array<array<bigint>>)),
-      (a, y) -> aggregate(y.edges, named_struct('w', a.w, 'p', CAST(array() AS array<bigint>), 'e', y.k * {CHUNK}, 's', a.s, 'v', a.v),
-        (r, x) -> CASE WHEN x.e > r.e THEN named_struct('w', concat(r.w, array(r.s)), 'p', concat(r.p, array(r.v)), 'e', x.e, 's', {known}, 'v', x.v)
-          WHEN {known} > r.s THEN named_struct('w', r.w, 'p', r.p, 'e', r.e, 's', {known}, 'v', x.v) ELSE r END,
-        r -> named_struct('w', slice(r.w, greatest(1, size(r.w) - {longest - 2}), {longest}), 's', r.s, 'v', r.v, 'p', concat(a.p, array(r.p)))),
-      a -> concat(a.p, array(array(a.v))))""").alias("best"))
+    grouped = edges.groupBy("hash").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # kept: of the positions so far, those that the next block sees; full, last: the last edges of a block's positions
+    whole = "concat(r.w, array(r.t))"
+    kept = f"slice({whole}, greatest(1, size(r.w) + {2 - longest}), {longest})"
+    block = lambda n: f"transform(slice({whole}, size(r.w) + 2 - ({n}), {n}), z -> z.v)"
+    full, last = block(str(CHUNK)), block(f"(r.e - 1) % {CHUNK} + 1")
+    # aggregate copies what it carries at each step, so of the positions before the current block of CHUNK only those in reach stay in w, the best path (score s, last edge v)
+    # to each position, and a full block's edges go to p; t: the best path so far to position e.  Edges come by end, longest first, and only a better one replaces another
+    best = grouped.select("hash", F.expr(f"""aggregate(edges, named_struct('w', CAST(array() AS array<struct<s: double, v: bigint>>), 'e', 0, 't', named_struct('s', 0D, 'v', 0L), 'p', CAST(array() AS array<array<bigint>>)),
+      (r, x) -> CASE
+        WHEN x.e = r.e THEN IF(get(r.w, x.i).s + x.s > r.t.s, named_struct('w', r.w, 'e', r.e, 't', named_struct('s', get(r.w, x.i).s + x.s, 'v', x.v), 'p', r.p), r)
+        WHEN r.e = 0 OR r.e % {CHUNK} > 0 THEN named_struct('w', concat(r.w, array(r.t)), 'e', x.e, 't', named_struct('s', coalesce(get(r.w, x.i).s, r.t.s) + x.s, 'v', x.v), 'p', r.p)
+        ELSE named_struct('w', {kept}, 'e', x.e, 't', named_struct('s', get({kept}, x.i).s + x.s, 'v', x.v), 'p', concat(r.p, array({full}))) END,
+      r -> concat(r.p, array({last})))""").alias("best"))
     walked = best.select("hash", F.expr("""reverse(flatten(aggregate(reverse(best), named_struct('skip', 0L, 'ids', CAST(array() AS array<array<int>>)),
       (a, y) -> aggregate(reverse(y), named_struct('skip', a.skip, 'ids', CAST(array() AS array<int>)),
         (r, v) -> CASE WHEN r.skip > 0 THEN named_struct('skip', r.skip - 1, 'ids', r.ids) WHEN v = 0 THEN r ELSE named_struct('skip', (v & 65535) - 1, 'ids', concat(r.ids, array(CAST(shiftright(v, 16) AS int)))) END,
@@ -223,7 +256,9 @@ def _part(path: str, task: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     folder = f"{root}/task={task}"
     if filesystem.get_file_info(folder).type != pyarrow.fs.FileType.Directory:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-    table = pyarrow.dataset.dataset(folder, filesystem=filesystem, format="parquet").to_table(columns=["hash", "ids"], use_threads=False).combine_chunks()
+    files = sorted(f.path for f in filesystem.get_file_info(pyarrow.fs.FileSelector(folder)) if f.path.endswith(".parquet"))
+    # not pyarrow.dataset, which imports pandas: 31 MB in each worker
+    table = pa.concat_tables([pyarrow.parquet.ParquetFile(filesystem.open_input_file(f)).read(columns=["hash", "ids"], use_threads=False) for f in files]).combine_chunks()
     if not np.all(np.diff(table["hash"].to_numpy()) >= 0):  # more than one file
         table = table.sort_by("hash").combine_chunks()
     hashed, lists = table["hash"].combine_chunks(), table["ids"].combine_chunks()
@@ -232,19 +267,21 @@ def _part(path: str, task: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashed.to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
 
 
-def _encoded(model: str, path: str):
+def _encoded(model: str, spans: np.ndarray, spelling: Spelling, path: str):
+    """A worker loads the model only for a segment or a text that it has to fold itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = pieces(model)
+        fold = lambda raw: pieces(model).fold(raw.tobytes().decode())
         known, first, flat = _part(path, TaskContext.get().partitionId())
         size = np.diff(first)
         for batch in batches:
             for a, b, data, offsets in K.blocks(batch.column(1), max_bytes=BLOCK):
-                hashed, doc, start, length = segments(data, offsets, given.spans)
+                hashed, doc, start, length = segments(data, offsets, spans)
                 hashed = hashed.view(np.int64)
                 at = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
                 hit = known[at] == hashed if len(known) else np.zeros(len(hashed), bool)
                 count = np.where(hit, size[at], 0) if len(known) else np.zeros(len(hashed), np.int64)
-                missing = {int(i): given.fold(data[start[i] : start[i] + length[i]].tobytes().decode()) for i in np.flatnonzero(~hit)}
+                missing = {int(i): fold(data[start[i] : start[i] + length[i]]) for i in np.flatnonzero(~hit)}
                 for i, path_ in missing.items():
                     count[i] = len(path_)
                 begin = np.cumsum(count) - count
@@ -257,7 +294,7 @@ def _encoded(model: str, path: str):
                     ids[begin[i] : begin[i] + count[i]] = path_
                 per = np.bincount(doc, count, b - a).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(per)])
-                spelled, width = given.spell(ids)
+                spelled, width = spelling.spell(ids)
                 reach = np.concatenate([[0], np.cumsum(width)])[ends]
                 same = np.diff(reach) == np.diff(offsets)
                 if same.all():
@@ -266,10 +303,10 @@ def _encoded(model: str, path: str):
                 else:
                     same &= np.array([np.array_equal(spelled[reach[i] : reach[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(b - a)])
                 if not same.all():  # two segments of one hash, or a character that the pieces can't spell: these texts' segments are folded here
-                    own = {int(i): np.array([p for j in np.flatnonzero(doc == i) for p in given.fold(data[start[j] : start[j] + length[j]].tobytes().decode())], np.int32) for i in np.flatnonzero(~same)}
+                    own = {int(i): np.array([p for j in np.flatnonzero(doc == i) for p in fold(data[start[j] : start[j] + length[j]])], np.int32) for i in np.flatnonzero(~same)}
                     texts = [own.get(i, ids[ends[i] : ends[i + 1]]) for i in range(b - a)]
                     for i, x in own.items():
-                        same[i] = np.array_equal(given.spell(x)[0], data[offsets[i] : offsets[i + 1]])
+                        same[i] = np.array_equal(spelling.spell(x)[0], data[offsets[i] : offsets[i + 1]])
                     ids, per = np.concatenate(texts), np.array([len(x) for x in texts])
                     ends = np.concatenate([[0], np.cumsum(per)])
                 null = np.array(batch.column(1).slice(a, b - a).is_null())
@@ -288,24 +325,25 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     words = storage.written(spelled.groupBy("hash").agg(F.first("segment").alias("segment"), F.collect_set("task").alias("tasks")), "words")
     found = lattice(spark, words.select("hash", "segment"), model).join(words.select("hash", "tasks"), "hash")
     path = storage.new_path(spark, "segments")
-    with storage.shuffles_freed(spark):
+    # by sorting: the other aggregate falls back to it after 128 segments, at each of its steps anew
+    with storage.shuffles_freed(spark), storage.setting(spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
         found.select("hash", "ids", F.explode("tasks").alias("task")).repartition(storage.partitions(spark), "task").sortWithinPartitions("task", "hash").write.partitionBy("task").parquet(path)
-    return texts.mapInArrow(_encoded(model, path), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return texts.mapInArrow(_encoded(model, pieces(model).spans, pieces(model).spelling, path), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): null ids give a null text, unknown ids are skipped."""
+    spelling = pieces(model).spelling
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = pieces(model)
         for batch in batches:
             text = []
             for ids in batch.column(1).to_pylist():
                 if ids is None:
                     text.append(None)
                     continue
-                good = np.array([i for i in ids if i is not None and 0 <= i < len(given.size)], np.int64)
-                spelled = given.spell(good)[0].tobytes().decode(errors="replace")
+                good = np.array([i for i in ids if i is not None and 0 <= i < len(spelling.size)], np.int64)
+                spelled = spelling.spell(good)[0].tobytes().decode(errors="replace")
                 text.append(spelled[1:] if spelled.startswith(" ") else spelled)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 

@@ -33,14 +33,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a write inside are removed once it has ended: what it wrote no longer needs them. The session's setting comes back."""
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside; its former value comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def shuffles_freed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of a write inside are removed once it has ended: what it wrote no longer needs them."""
+    return setting(spark, _FREE, "true")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

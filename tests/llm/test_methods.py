@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +160,20 @@ def test_sentencepiece_is_the_library(spark, sf):
     assert {r.doc_id: r.text for r in sentencepiece.decode(out).collect()} == text
 
 
+def test_sentencepiece_leaves_out_only_unused_pieces(spark, sf):
+    given = sentencepiece.pieces(sentencepiece.MODEL)
+    left_out = {p: i for p, (i, _) in given.table.items() if p not in given.used}
+    assert left_out and all(given.fold(p) != [i] for p, i in left_out.items())
+    used = {i for i, _ in given.used.values()} | set(given.bytes.tolist())
+    assert all(used.issuperset(given.fold(" " + r.text)) for r in read(spark, sf, "documents").where("text <> ''").orderBy(F.length("text"), "doc_id").limit(60).collect())
+
+
+def test_sentencepiece_workers_load_no_model():
+    """Python workers share the executor's memory: the kernels' module brings neither the model's library nor pandas."""
+    code = "import sys; from sparkpress.llm import sentencepiece; assert not {'pandas', 'sentencepiece'} & set(sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+
+
 def test_hmm_is_the_sum_over_paths():
     rng = np.random.default_rng(0)
     states, words = 3, 5
