@@ -22,7 +22,9 @@ the join runs over points.
 4. **Verification.**  Slabs with one least member, their *lead*, meet in one
    task; a pair that several leads find goes with the least.  Pairs are verified
    by lead, so no task depends on how far candidates chain, and their grams are
-   counted exactly.
+   counted exactly.  A lead with more than ``WIDE`` pairs (a group of near copies
+   grows with the table) is cut into blocks of ``BLOCK`` points, and each pair of
+   blocks is a task of its own, from candidates to verification.
 
 ``classes`` gives one row for each row of the table: (doc_id, class_id, links).
 links is the number of other rows whose text reaches the threshold, copies and
@@ -59,6 +61,8 @@ N, THRESHOLD = 3, 0.5
 #: (largest size, groups): the spaces of the points; one byte a coordinate, 255 for that or more.
 GROUPS = ((256, 128), (1024, 512), (4096, 2048), (1 << 62, 8192))
 LEAF = 32
+#: A lead with more pairs than WIDE is dealt out over tasks, each of two blocks of about BLOCK points.
+WIDE, BLOCK = 500_000, 1000
 #: Cells of the two corpus summaries, and the share of texts (of words) from which a cell is listed in them.
 GRAM_CELLS, WORD_CELLS = 1 << 22, 1 << 20
 GRAM_SHARE, WORD_SHARE = 1e-3, 1e-6
@@ -414,6 +418,77 @@ def _candidates(threshold: float):
     return run
 
 
+def cross_pairs(points: Points, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right member that the bound lets through; the members of one block among themselves where right is left."""
+    alone = right is left
+    right = right[np.argsort(points.size[right], kind="stable")]
+    size, coarse = points.size[right], points.tables[0][points.place[0][right]]
+    full, fine = points.full[right], points.space[right] > 0
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        own = points.size[i]
+        lo, hi = np.searchsorted(size, [threshold * own - 1e-9, own / threshold + 1e-9])
+        if lo == hi:
+            continue
+        bound = np.minimum(coarse[lo:hi], points.tables[0][points.place[0][i]]).sum(1, dtype=np.int32)
+        keep = np.flatnonzero((bound >= required(own, size[lo:hi], threshold)) | full[lo:hi] | points.full[i])
+        y = right[lo + keep]
+        if alone:
+            keep, y = keep[y > i], y[y > i]
+        x = np.full(len(y), i)
+        if points.space[i] > 0 and fine[lo + keep].any():
+            x, y = points.bounded(x, y, threshold)
+        out_a.append(x)
+        out_b.append(y)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _block_candidates(threshold: float):
+    """Points of whole units, each of one block (side 0) or two (0 and 1), to point pairs (lead, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        table = table.take(pa.compute.sort_indices(table, [("unit", "ascending"), ("side", "ascending"), ("sig", "ascending")]))
+        unit = table["unit"].to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
+        for i, j in zip(at, np.append(at[1:], len(unit))):
+            part = table.slice(i, j - i)
+            sig, side = part["sig"].to_numpy(), part["side"].to_numpy()
+            points = Points(part["size"].to_numpy().astype(np.int64), [zlib.decompress(c, -15) for c in part["counts"].to_pylist()])
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x, y = cross_pairs(points, left, right if len(right) else left, threshold)
+            a, b = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])
+            lead = np.full(len(a), part["lead"][0].as_py())
+            for s in range(0, len(a), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[s : s + 500_000]) for v in (lead, a, b)], ["lead", "a", "b"])
+        K.release()
+
+    return run
+
+
+def _wide(slabs: DataFrame) -> DataFrame:
+    """(lead, joined, points) of leads with more than WIDE pairs, of their slabs and of all their points alike; joined: all their points are fewer pairs than those of the slabs."""
+    apart = slabs.groupBy("lead").agg(F.sum(F.expr("size(sigs) * (size(sigs) - 1D) / 2")).alias("apart")).where(F.col("apart") > WIDE)
+    held = slabs.join(apart, "lead").select("lead", "apart", F.explode("sigs").alias("sig")).distinct().groupBy("lead", "apart").agg(F.count(F.lit(1)).alias("points"))
+    whole = F.expr("points * (points - 1D) / 2")
+    return held.where(whole > WIDE).select("lead", (whole <= F.col("apart")).alias("joined"), "points")
+
+
+def _blocks(slabs: DataFrame, wide: DataFrame, points: DataFrame) -> DataFrame:
+    """Points of wide leads by unit, which is a pair of blocks of a run: of all points of a joined lead, else of a slab.  A unit's lead keeps the upper 48 bits of its own, so a pair that several leads find still goes with the least of them, and the lower 16 tell its units apart."""
+    given = slabs.join(wide, "lead")
+    joined = given.where("joined").select("lead", F.col("lead").alias("slab"), "points", F.explode("sigs").alias("sig")).distinct()
+    apart = given.where("NOT joined").select("lead", "slab", F.size("sigs").cast("long").alias("points"), F.explode("sigs").alias("sig"))
+    runs = joined.unionByName(apart).join(points.select("sig", "size", "counts"), "sig").withColumn("blocks", F.ceil(F.col("points") / BLOCK).cast("int"))
+    runs = runs.withColumn("own", F.expr("CAST(pmod(xxhash64(sig), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    runs = runs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    lead = F.col("lead").bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.xxhash64("slab", "low", "high").bitwiseAND(F.lit(0xFFFF)))
+    return runs.select(F.xxhash64("lead", "slab", "low", "high").alias("unit"), lead.alias("lead"), F.expr("CAST(own > other AS INT)").alias("side"), "sig", "size", "counts")
+
+
 def _overlaps(key: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Common keys of sets x[i] and y[i]; x ascending, keys numbered from 0."""
     size = np.diff(off)
@@ -467,9 +542,7 @@ def _verify(n: int, threshold: float, listed: bool):
         x, y, overlap = x[keep], y[keep], overlap[keep]
         if listed:
             return pa.Table.from_arrays([pa.array(sig[x]), pa.array(sig[y]), pa.array(overlap / (size[x] + size[y] - overlap))], schema=schema)
-        links, root = np.zeros(len(sig), np.int64), np.arange(len(sig))
-        np.add.at(links, x, rows[y])
-        np.add.at(links, y, rows[x])
+        links, root = np.bincount(x, rows[y], len(sig)).astype(np.int64) + np.bincount(y, rows[x], len(sig)).astype(np.int64), np.arange(len(sig))
         while True:
             least = root.copy()
             np.minimum.at(least, x, root[y])
@@ -496,10 +569,15 @@ def _linked(texts: DataFrame, n: int, threshold: float, listed: bool) -> tuple[D
     rows = kept.where("sig IS NOT NULL").select("doc_id", "text_hash", "sig", "size", "counts")
     points = rows.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("counts").alias("counts"))
     # slabs of one group of near copies mostly share their least member; by it they meet in one task, which finds a pair once
-    slabs = kept.where("slab IS NOT NULL").dropDuplicates(["slab"]).select("slab", F.array_min("sigs").alias("lead"), F.explode("sigs").alias("sig"))
+    every = storage.written(kept.where("slab IS NOT NULL").dropDuplicates(["slab"]).select("slab", F.array_min("sigs").alias("lead"), "sigs"), "slabs")
+    wide = storage.written(_wide(every), "wide")
+    some = not wide.isEmpty()
+    slabs = (every.join(wide, "lead", "left_anti") if some else every).select("slab", "lead", F.explode("sigs").alias("sig"))
     points_of = slabs.select("lead", "sig").distinct().join(points.select("sig", "size", "counts"), "sig").select("lead", F.lit(None).cast("long").alias("slab"), "sig", "size", "counts")
     members = slabs.select("lead", "slab", "sig", F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("counts")).unionByName(points_of)
     found = members.repartition(buckets, "lead").mapInArrow(_candidates(threshold), "lead long, a long, b long")
+    if some:
+        found = found.unionByName(_blocks(every, wide, points).repartition(buckets, "unit").mapInArrow(_block_candidates(threshold), "lead long, a long, b long"))
     bucket = F.pmod(F.xxhash64(F.min("lead")), F.lit(buckets)).cast("int").alias("bucket")
     candidates = storage.written(found.groupBy("a", "b").agg(bucket), "candidates")
     wanted = candidates.select("bucket", F.explode(F.array("a", "b")).alias("sig")).distinct().join(points.select("sig", "rows", F.col("least.doc_id").alias("of_id"), F.col("least.text_hash").alias("of_text")), "sig")

@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,18 +206,32 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, reje
                 words = np.split(hashed, np.cumsum(count)[:-1]) if reject_toxic else [hashed[:0]] * (b - a)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 4, 5)), *(pa.array(x, pa.binary()) for x in ([number[c].astype(np.int32).tobytes() for c in cut], [value[c].tobytes() for c in cut], [np.unique(w).tobytes() for w in words]))], ["doc_id", "quality", "toxic", "numbers", "cells", "words"])
 
-    rows = found.mapInArrow(run, "doc_id long, quality int, toxic int, numbers binary, cells binary, words binary").toArrow().sort_by("doc_id")
-    return _machine(rows.filter(rows["quality"].is_valid())), _insults(rows.filter(rows["toxic"].is_valid()))
+    rows = found.mapInArrow(run, "doc_id long, quality int, toxic int, numbers binary, cells binary, words binary").toArrow()
+    rows = rows.take(pa.compute.sort_indices(rows["doc_id"]))
+    machine = _machine(rows.select(["quality", "numbers", "cells"]).filter(rows["quality"].is_valid()))
+    rows = rows.select(["toxic", "words"])
+    K.release()
+    insults = _insults(rows.filter(rows["toxic"].is_valid()))
+    del rows
+    K.release()
+    return machine, insults
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(elements one after another, elements of each row) of binary arrays, without a copy for each row."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    _, offsets, data = whole.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
 def _machine(rows: pa.Table) -> Machine | None:
     good = (rows["quality"].to_numpy() > 0).astype(np.float64)
     if not rows.num_rows or good.min() == good.max():
         return None
-    number = [np.frombuffer(x, np.int32) for x in rows["numbers"].to_pylist()]
-    value = np.concatenate([np.frombuffer(x, np.float32) for x in rows["cells"].to_pylist()])
-    start = np.concatenate([[0], np.cumsum([len(x) for x in number])])
-    number = np.concatenate(number).astype(np.int64)
+    number, per = _flat(rows["numbers"], np.int32)
+    value, _ = _flat(rows["cells"], np.float32)
+    start = np.concatenate([[0], np.cumsum(per)])
     stats = np.stack([value[number == STAT0 + i] for i in range(len(STATS))], 1).astype(np.float64)
     machine = Machine(stats.mean(0), np.maximum(stats.std(0), 1e-6))
     machine.fit(start, number, value, good)
@@ -227,8 +242,8 @@ def _insults(rows: pa.Table) -> Insults | None:
     toxic = (rows["toxic"].to_numpy() > 0).astype(np.float64)
     if not rows.num_rows or toxic.min() == toxic.max():
         return None
-    words = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
-    return Insults(np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words]), toxic)
+    words, per = _flat(rows["words"], np.uint64)
+    return Insults(words, np.repeat(np.arange(len(per)), per), toxic)
 
 
 def _probability(fitted: tuple[Machine | None, Insults | None], start: np.ndarray, number: np.ndarray, value: np.ndarray, count: np.ndarray, hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:

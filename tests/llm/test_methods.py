@@ -71,6 +71,30 @@ def test_rtree_bound_loses_no_pair(spark):
     assert len(found) < len(sets) ** 2 / 4
 
 
+def test_wide_leads_are_dealt_out_and_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 3
+    for _ in range(90):  # near copies, some more than half apart
+        words = list(base)
+        for i in rng.integers(0, 60, rng.integers(1, 9)):
+            words[i] = f"x{rng.integers(40)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:n]) for n in range(20, 60, 3)] + ["some other text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = gram_sets(texts)
+    near = np.array([[len(a & b) / len(a | b) >= 0.5 for b in sets] for a in sets])
+    monkeypatch.setattr(jaccard_join, "WIDE", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    most = []
+    plain = jaccard_join._blocks
+    monkeypatch.setattr(jaccard_join, "_blocks", lambda *given: most.append(plain(*given).groupBy("unit").count().agg({"count": "max"}).first()[0]) or plain(*given))
+    found = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.classes(docs).collect()}
+    reach = np.linalg.matrix_power(near.astype(float), 8) > 0
+    assert found == {i: (int(np.flatnonzero(reach[i])[0]), int(near[i].sum()) - 1) for i in range(len(texts))}
+    assert most and most[0] < 45  # of 107 points, in tasks of two blocks of about ten
+
+
 def test_slabs_that_repeat_each_other_are_paired_once():
     lead = np.array([7] * 90 + [9] * 4)
     slab = np.concatenate([np.repeat(np.arange(30), 3), [100, 100, 101, 101]])
@@ -397,6 +421,12 @@ def test_machine_is_the_pairwise_sum():
     assert math.isclose(machine.margins(np.array([0, 12]), number, value)[0], machine.w[number] @ value + pairs)
 
 
+def test_training_rows_are_joined_without_a_copy_each():
+    parts = pa.chunked_array([pa.array([np.arange(3, dtype=np.int32).tobytes(), b""]), pa.array([np.arange(5, dtype=np.int32).tobytes()])])
+    flat, per = quality._flat(parts.filter(pa.array([True, False, True])), np.int32)
+    assert flat.tolist() == [0, 1, 2, 0, 1, 2, 3, 4] and per.tolist() == [3, 5]
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
