@@ -11,10 +11,10 @@ from ..functions import text as T
 
 def record_type(sentence: Column) -> Column:
     """The first cue that matches; small talk first if short, then questions, else an answer."""
-    kind = F.when((F.length(F.trim(sentence)) == 0) | (sentence.rlike(lexicon.SMALL_TALK) & (F.length(sentence) < 80)), "smalltalk")
+    kind = F.when((F.length(F.trim(sentence)) == 0) | (T.has(sentence, lexicon.SMALL_TALK) & (F.length(sentence) < 80)), "smalltalk")
     for name, pattern in lexicon.RECORD_CUES:
-        kind = kind.when(sentence.rlike(pattern), name)
-    return kind.when(sentence.rlike(lexicon.QUESTION), "question").otherwise("answer")
+        kind = kind.when(T.has(sentence, pattern), name)
+    return kind.when(T.has(sentence, lexicon.QUESTION), "question").otherwise("answer")
 
 
 def records(sentences: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
+from ..functions import text as T
 
 LABELS = ["prose", "markdown", "code", "logs", "conversation", "sql", "table", "json"]
 SWITCH, STAY = 3.2, {"table": 1.0, "logs": 1.0, "json": 1.8, "code": 1.4}
@@ -25,7 +26,7 @@ def line_scores(rows: DataFrame) -> DataFrame:
         "prose": 1.0 + when((words >= 6) & line.rlike("[.!?]$"), 1.6) + when(letters > 0.75, 1.2),
         "markdown": when(line.rlike(r"^#{1,6}\s+\S"), 2.6) + when(line.rlike(r"^\s*([-*+]|[0-9]+[.)])\s+\S"), 1.4) + when(line.rlike(r"\[[^\]\n]*\]\(\S+\)"), 1.2),
         "code": when(line.rlike(r"^\s*(def|class|import|from|func|fn|public|private|const|let|var|return|if|for|while)\b.*([:({;]|$)"), 2.4) + when(line.rlike(r"[;{}]\s*$"), 1.4) + when(line.rlike(r"[A-Za-z_]\w*\([^)]*\)"), 0.8),
-        "logs": when(F.substring("line", 1, 40).rlike(lexicon.TIMESTAMP), 2.6) + when(F.substring("line", 1, 60).rlike(lexicon.LOG_LEVEL), 2.2),
+        "logs": when(F.substring("line", 1, 40).rlike(lexicon.TIMESTAMP), 2.6) + when(T.has(F.substring("line", 1, 60), lexicon.LOG_LEVEL), 2.2),
         "conversation": when(line.rlike(lexicon.ROLE_MARKER), 3.2),
         "sql": when(line.rlike(r"(?i)^\s*(select|insert into|update|delete from|create table|alter table|drop table)\b"), 3.0) + when(line.rlike(r"(?i)^\s*(from|where|join|group by|order by)\b"), 1.5),
         "table": when(line.rlike(r"^\s*[|].*[|]\s*$"), 2.8) + when(line.rlike("\t.*\t"), 1.8),

@@ -41,8 +41,8 @@ def clauses(units: DataFrame, key: str = "doc_id") -> DataFrame:
 def phrases(units: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, class, literal, fact): clauses with a constraint, negation or security cue; a quantity cue counts beside a digit, in four words or more."""
     c = clauses(units, key)
-    bound = F.col("clause").rlike(lexicon.QUANTITY) & F.col("clause").rlike("[0-9]") & (F.size(T.words(F.col("clause"))) >= 4)
-    classes = F.array_compact(F.array(F.when(F.col("clause").rlike(lexicon.STRONG) | bound, "constraint"), F.when(F.col("clause").rlike(lexicon.NEGATION), "negation"), F.when(F.col("clause").rlike(lexicon.SECURITY), "security")))
+    bound = T.has(F.col("clause"), lexicon.QUANTITY) & F.col("clause").rlike("[0-9]") & (F.size(T.words(F.col("clause"))) >= 4)
+    classes = F.array_compact(F.array(F.when(T.has(F.col("clause"), lexicon.STRONG) | bound, "constraint"), F.when(T.has(F.col("clause"), lexicon.NEGATION), "negation"), F.when(T.has(F.col("clause"), lexicon.SECURITY), "security")))
     rows = c.select(key, F.explode(classes).alias("class"), F.col("clause").alias("literal"))
     return rows.select(key, "class", "literal", F.concat(F.substring("class", 1, 1), F.lit("c:"), F.substring(F.md5(T.canonical(F.col("literal"))), 1, 16)).alias("fact"))
 

@@ -21,9 +21,9 @@ KINDS = {"header": "locked", "parameter": "locked", "ddl": "locked", "heading":
 def tighten(text: Column) -> Column:
     """Without hedges, short parentheses that state nothing, and fillers; single spaces, a capital first letter. A text with a constraint or a negation stays."""
     fillers = r"(?i)\b(" + "|".join(lexicon.FILLERS) + r")\b,? ?"
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, lexicon.HEDGE + ",? ?", ""), r" ?[(][A-Za-z ,]{1,40}[)]", ""), fillers, "")
+    bare = T.replaced(T.replaced(T.replaced(text, lexicon.HEDGE + ",? ?", ""), r" ?[(][A-Za-z ,]{1,40}[)]", ""), fillers, "")
     bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    return F.when(text.rlike(lexicon.STRONG) | text.rlike(lexicon.NEGATION) | (bare == ""), text).otherwise(F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
+    return F.when(T.has(text, lexicon.STRONG) | T.has(text, lexicon.NEGATION) | (bare == ""), text).otherwise(F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
 
 
 def carriers(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -38,7 +38,7 @@ def carriers(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFram
 def protection(role: Column, kind: Column, text: Column) -> Column:
     """Number of a unit's level: the greatest of what its role, kind and phrases ask for."""
     level = lambda names: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in names[1].items() for x in (k, LEVELS.index(v))]), names[0]), F.lit(0))
-    phrase = F.when(text.rlike(lexicon.STRONG) | text.rlike(lexicon.SECURITY), 2).when(text.rlike(lexicon.NEGATION), 1).otherwise(0)
+    phrase = F.when(T.has(text, lexicon.STRONG) | T.has(text, lexicon.SECURITY), 2).when(T.has(text, lexicon.NEGATION), 1).otherwise(0)
     return F.greatest(level((role, ROLES)), level((kind, KINDS)), phrase).cast("long")
 
 

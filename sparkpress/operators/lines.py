@@ -34,7 +34,7 @@ def truncate(docs: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
 
 def flags(rows: DataFrame, patterns: dict[str, str], column: str = "line") -> DataFrame:
     """One Boolean column for each pattern."""
-    return rows.select("*", *[F.col(column).rlike(p).alias(name) for name, p in patterns.items()])
+    return rows.select("*", *[T.has(F.col(column), p).alias(name) for name, p in patterns.items()])
 
 
 def simple_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from . import kernel
 def units_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n, text, tokens, critical): sentence units with their cost and whether they state a constraint, a negation, a security cue or a number."""
     s = lines.simple_sentences(docs, key).withColumnRenamed("sentence", "text")
-    critical = F.col("text").rlike(lexicon.STRONG) | F.col("text").rlike(lexicon.NEGATION) | F.col("text").rlike(lexicon.SECURITY) | F.col("text").rlike(r"[0-9]")
+    critical = T.has(F.col("text"), lexicon.STRONG) | T.has(F.col("text"), lexicon.NEGATION) | T.has(F.col("text"), lexicon.SECURITY) | F.col("text").rlike(r"[0-9]")
     return s.select(key, "n", "text", (T.token_count(F.col("text")) + 1).alias("tokens"), critical.alias("critical"))
 
 

@@ -46,6 +46,21 @@ def test_personalisation_rounds_halves_as_its_sql(spark):
     assert sorted(map(tuple, QUERIES["personalisation"](spark, folder).collect())) == sorted(con.sql(ORACLES["personalisation"]).fetchall())
 
 
+def test_word_boundaries_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["Doñez ñta del el osjarr", "Do it", "Dr. Öz met Müllerdr. Äb here", "émust pay", "noß, never", "user_idé=7 and 5é 30 msé"]
+    pq.write_table(pa.table({"doc_id": range(6), "conv_id": range(6), "turn": range(6), "role": ["user"] * 6, "text": texts, "lang": ["en"] * 6}), tmp_path / "conversations.parquet")
+    (tmp_path / "documents.parquet").write_bytes((tmp_path / "conversations.parquet").read_bytes())
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    for name in ("record_type_counts", "document_predicates", "sentences", "protection_seed", "tighten", "literal_quantity", "literal_identifier", "fact_merge"):
+        assert rows(QUERIES[name](spark, str(tmp_path)).toArrow()) == rows(con.sql(ORACLES[name]).to_arrow_table()), name
+
+
 def test_entry_imports_without_corpus_operators(monkeypatch):
     import importlib
     import sys
