@@ -61,6 +61,27 @@ def test_word_boundaries_are_those_of_the_sql(spark, tmp_path):
         assert rows(QUERIES[name](spark, str(tmp_path)).toArrow()) == rows(con.sql(ORACLES[name]).to_arrow_table()), name
 
 
+def test_terms_of_repeated_and_missing_keys(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["Alpha beta beta, gamma_1 9x the", None, "", "alpha Delta", "beta epsilon\nÉcole beta", "Zeta x", "the of", "alpha"]
+    pq.write_table(pa.table({"doc_id": [1, 1, 2, 3, 3, None, 4, None], "text": texts}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    for name in ("term_df", "idf", "concept_weights", "top_terms", "generic_share", "information_density", "self_information", "lexical_knn"):
+        assert rows(QUERIES[name](spark, str(tmp_path)).toArrow()) == rows(con.sql(ORACLES[name]).to_arrow_table()), name
+
+
+def test_term_vectors_are_not_shuffled(spark, sf):
+    from sparkpress.operators import terms
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plan = terms.vectors(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan and "Window" not in plan
+
+
 def test_entry_imports_without_corpus_operators(monkeypatch):
     import importlib
     import sys
