@@ -149,3 +149,16 @@ def test_greedy_respects_budget_and_covers():
     kept = selection.lazy_greedy([10, 10, 10, 10], parts, weight, 30, [False] * 4, 0.0)
     assert kept == [0, 2, 3]
     assert 1 in selection.lazy_greedy([10, 10, 10, 10], parts, weight, 30, [False, True, False, False], 0.0)
+
+
+def test_near_pairs_move_no_sets(spark, sf):
+    """Sets of shingles stay where they are made; what is joined are packed prefixes, by the corpus join, which needs no corpus operator."""
+    import sys
+
+    from sparkpress.operators import jaccard_join, similarity
+
+    assert jaccard_join.__name__ == "sparkpress.operators.jaccard_join" and not any(m.startswith("sparkpress.llm") for m in (similarity.jaccard_join.storage.__name__, similarity.jaccard_join.K.__name__))
+    assert "sparkpress.operators.jaccard_join" in sys.modules
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "A b, c d e f 12 g h i j k l"), (3, "a b c d e f g h i j k l m"), (4, "x y"), (5, "x 7y"), (6, None), (7, "12")], "doc_id long, text string")
+    assert sorted(map(tuple, similarity.jaccard_pairs(docs, 0.82).collect())) == [(1, 2, 10, 1.0), (1, 3, 10, 10 / 11), (4, 5, 1, 1.0)]
+    assert sorted(map(tuple, similarity.jaccard_groups(docs, 0.82).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
