@@ -26,3 +26,16 @@ def test_mmr_avoids_repeats(spark):
     rows = [(1, 1, "solar panels power the distant station", 8), (1, 2, "solar panels power the distant station", 8), (1, 3, "engineers repaired broken antenna hardware", 8)]
     out = [r.n for r in kernels.mmr(spark.createDataFrame(rows, "doc_id long, n long, text string, tokens long"), 16).collect()]
     assert sorted(out) == [1, 3]
+
+
+def test_openings_hide_no_critical_phrase():
+    import itertools
+
+    from sparkpress.plans import kernel
+
+    texts = "You mustn't|must NOT|can not go|cannot|don't|do not|never|Under no circumstances|have  to|has to|required|may not|encrypting it|api-key|a private key|API key|password|passphrases|credentials|isn't|without|two-factor|gdpr|lacks|other than|it's nothing|access tokens|hash passwords|confidentiality|no|nor so|notwithstanding it|obliged to|entitled to|saml|personal data|x must".split("|")
+    texts += [" ".join(p) for p in itertools.permutations(["do", "not", "go"])] + ["doñ not", "émust", "plain words", "not-a", "NO_T"]
+    for t in texts:
+        words = kernel._WORD.findall(t.lower())
+        assert not any(p.search(t) for p in kernel._CRITICAL) or any(map(kernel._OPENS.__getitem__, words)), t
+    assert not any(map(kernel._OPENS.__getitem__, "noted constant company area forest".split()))
